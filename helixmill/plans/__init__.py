@@ -1 +1 @@
-
+"""Registered queries: each module has queries() and oracle_sql()."""
