@@ -42,7 +42,12 @@ _COMPLEMENT8 = complement_kmers(np.arange(65536, dtype=np.uint64), 8).astype(np.
 def kmer_sets(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, values, sizes): the distinct readable 8-mers of each window, sorted by row and value."""
     at, v = w.kmers(8)
-    key = np.unique((w.row[at].astype(np.int64) << 16) | v.astype(np.int64))
+    wide = np.uint32 if len(w.size) < 1 << 16 else np.uint64
+    key = (w.row[at].astype(wide) << wide(16)) | v.astype(wide)
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new].astype(np.int64)
     rows = key >> 16
     return rows, key & 0xFFFF, np.bincount(rows, minlength=len(w.size))
 
@@ -54,7 +59,10 @@ def codes(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def complement_set(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort((rows << 16) | _COMPLEMENT8[values])
+    key = (rows << 16) | _COMPLEMENT8[values]
+    key = key.astype(np.uint32 if len(rows) and rows[-1] < 1 << 16 else np.uint64)
+    key.sort()
+    key = key.astype(np.int64)
     return key >> 16, key & 0xFFFF
 
 
@@ -172,7 +180,8 @@ class Shard:
                 size = self.n8[which]
                 flat = np.arange(size.sum()) + np.repeat(self.end[which] - size - (np.cumsum(size) - size), size)
                 keys.append((np.repeat(np.arange(len(which)), size) << 16) | vals[flat])
-            key = np.sort(np.concatenate(keys))
+            key = np.concatenate(keys).astype(np.uint32)  # 512 pairs: 25 bits
+            key.sort()
             twice = key[1:][key[1:] == key[:-1]] >> 16
             out[lo : lo + 512] = np.bincount(twice, minlength=len(x))
         return out
