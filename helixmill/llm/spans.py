@@ -67,9 +67,13 @@ def anchors(windows: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows, h = w.row[starts], low[starts]
                 new = np.ones(len(h), bool)
                 new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-                key = np.unique(np.stack([rows[new].astype(np.uint64), h[new]]), axis=1)
-                ids = b.column("row_index").to_numpy(zero_copy_only=False)[key[0].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[1].view(np.int64)), pa.array(ids)], names=["anchor", "row_index"])
+                rows, h = rows[new], h[new]
+                order = np.lexsort((h, rows))
+                rows, h = rows[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
+                ids = b.column("row_index").to_numpy(zero_copy_only=False)[rows[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids)], names=["anchor", "row_index"])
 
     return windows.select("row_index", "window").mapInArrow(run, "anchor long, row_index long")
 
