@@ -24,6 +24,7 @@ _LETTER[[ord("U"), ord("u")]] = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _QUAD = np.array([[(b >> s) & 3 for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
+_WIDTH = {4: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}
 _TEXT = np.frombuffer(b"ACGTN", np.uint8)
 
 
@@ -120,15 +121,17 @@ class Windows:
 
     def kmers(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, values) of all readable k-mers, k a power of two up to 32; a value has two bits a base."""
-        v, ok, step = self.codes.astype(np.uint64), self.codes != BAD, 1
+        v, ok, step = self.codes & np.uint8(3), self.codes != BAD, 1
         while step < k:
             if len(v) <= step:
                 return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            v = (v[:-step] << np.uint64(2 * step)) | v[step:]
+            wide = _WIDTH[min(4 * step, 64)]  # no wider than the value needs
+            v = v.astype(wide, copy=False)
+            v = (v[:-step] << wide(2 * step)) | v[step:]
             ok = ok[:-step] & ok[step:]
             step *= 2
         at = np.flatnonzero(ok)
-        return at, v[at]
+        return at, v[at].astype(np.uint64)
 
 
 def complement_kmers(v: np.ndarray, k: int) -> np.ndarray:
