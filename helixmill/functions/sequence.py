@@ -42,7 +42,10 @@ def encode_bases(seq: Column | str) -> Column:
 
 
 def is_one_hot(bits: Column | str) -> Column:
-    return _c(bits).rlike("^(1000|0100|0010|0001)+$")
+    """Whether the cell is a run of one-hot groups. Groups are taken from the left, so nothing is left over just when all are aligned;
+    a repeated group in a pattern would need stack for each."""
+    b = _c(bits)
+    return (F.length(b) > 0) & (F.regexp_replace(b, "1000|0100|0010|0001", "") == "")
 
 
 def one_hot_problem(bits: Column | str, length: Column | int) -> Column:
