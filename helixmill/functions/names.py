@@ -14,11 +14,13 @@ def na_to_null(x: Column) -> Column:
 
 def contig_category(unit: Column, role: Column) -> Column:
     """chromosome, mitochondrion, unlocalized or unplaced; null for what isn't part of the primary assembly."""
+    u, r = F.trim(unit), F.lower(F.trim(role))
+    primary = u == "Primary Assembly"
     return (
-        F.when((unit == "non-nuclear") & (role == "assembled-molecule"), "mitochondrion")
-        .when((unit == "Primary Assembly") & (role == "assembled-molecule"), "chromosome")
-        .when((unit == "Primary Assembly") & (role == "unlocalized-scaffold"), "unlocalized")
-        .when((unit == "Primary Assembly") & (role == "unplaced-scaffold"), "unplaced")
+        F.when(primary & (r == "assembled-molecule"), "chromosome")
+        .when(primary & (r == "unlocalized-scaffold"), "unlocalized")
+        .when(primary & (r == "unplaced-scaffold"), "unplaced")
+        .when((u == "non-nuclear") & (r == "assembled-molecule"), "mitochondrion")
     )
 
 

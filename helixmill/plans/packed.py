@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions.labels import label_values
+from helixmill.plans import sql
 
 
 def protein_ids(proteins: DataFrame) -> dict[str, int]:
@@ -37,4 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    # for cells without malformed quotes or unreadable text, of which these tables have none: remarks go by pattern
+    return {
+        "p5_found": f"with {sql.VAL} select row_index, pos, v label_value from val",
+        "p5_flags": f"with {sql.VAL} select cast(null as varchar) flag, count(*) n_slots, count(distinct row_index) n_records from val",
+    }
