@@ -1,4 +1,4 @@
-"""The queries of the training-data problems, over whole tables. None has SQL: see the README for what they are tested against."""
+"""The queries of the training-data problems, over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from helixmill.functions.labels import first_delivery
 from helixmill.functions.windows import windows
 from helixmill.llm import abuse, frequency, mixing, neardup, overlap, sampling, spans, splits, tokenize
 from helixmill.llm.records import newest_audit, record_values
+from helixmill.plans import sql
 from helixmill.session import materialize
 
 
@@ -124,5 +125,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_AUDIT = """aud as (select * from dataset_audit where audited_at is not null and protein_id is not null and audit_id is not null),
+newest as (select audit_id from aud group by 1 order by min(audited_at) desc, audit_id desc limit 1),
+au as (select protein_id, coalesce(positive_count, 0) p, coalesce(negative_count, 0) n, known_count from aud where audit_id = (select audit_id from newest)
+ qualify row_number() over (partition by protein_id order by audited_at desc, positive_count desc nulls last, negative_count desc nulls last, known_count desc nulls last) = 1)"""
+
+_SETS = (
+    sql.WIN
+    + """, km as (select distinct row_index, substr(seq, i, 8) k from (select row_index, seq, unnest(range(1, length(seq) - 6)) i from win where length(seq) >= 8) where not contains(substr(seq, i, 8), 'N')),
+sz as (select row_index, count(*) n from km group by 1)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    split = "case when lower(trim(split_name)) in ('train', 'training') then 0 when lower(trim(split_name)) in ('validation', 'valid', 'val', 'test') then 1 end"
+    near = "select a, b from {} join sz x on x.row_index = a join sz y on y.row_index = b where c >= 0.6 * (x.n + y.n - c) - 1e-9"
+    marks = f"with {sql.VAL}, f as (select v, count(*) occ, count(distinct row_index) rec from val group by 1), n as (select count(*) n from rec), m as (select v, occ, rec, case when rec <= 2 then 'rare' when rec > cast(0.05 as double) * n then 'common' end mark from f, n)"
+    tie = r"regexp_replace(lower(regexp_replace(transcript_id, '^\s+|\s+$', '', 'g')), '\s*\.\d+$', '')"
+    return {
+        "p1_found": f"with {sql.WIN}, st as (select row_index, i, substr(seq, i, 150) s from (select row_index, seq, unnest(range(1, length(seq) - 148)) i from win where length(seq) >= 150) where not contains(substr(seq, i, 150), 'N')), sh as (select s from st group by 1 having count(distinct row_index) > 1), hit as (select row_index, i, lag(i) over (partition by row_index order by i) p from st where s in (select s from sh)) select row_index, cast(sum(least(150, i - coalesce(p, -150))) as int) shared_nt from hit group by 1",
+        "p2_found": f"with {sql.VAL}, {_AUDIT}, t as (select sum(p + n) t from au), nn as (select count(*) // 5 n from rec), cl as (select protein_id l, p c from au union all select -protein_id, n from au), h as (select v, count(distinct row_index) k from val group by 1) select l label_value from cl left join h on l = v, t, nn where coalesce(k, 0) < greatest(1, (nn.n * c) // t)",
+        "p3_found": f"""with recursive {sql.WIN}, kk as materialized (select row_index, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) k from win where seq <> ''),
+tt as (select row_index, case when t not in ('', '-', 'na', 'n/a', 'unknown', 'none', 'null') then t end t from (select row_index, {tie} t from rec)),
+star as materialized (select row_index a, min(row_index) over (partition by k) b from kk union select row_index, min(row_index) over (partition by t) from tt where t is not null),
+ed as materialized (select a, b from star where a <> b union select b, a from star where a <> b), reach as (select row_index a, row_index b from tt union select r.a, e.b from reach r join ed e on r.b = e.a),
+mem as (select a row_index, min(b) group_row_index from reach group by 1) select row_index, group_row_index from mem where group_row_index in (select group_row_index from mem group by 1 having count(*) > 1)""",
+        "p4_found": f"{marks} select v label_value, mark from m where mark is not null",
+        "p4_frequencies": f"{marks[:-1]}), {_AUDIT} select v label_value, occ n_occurrences, rec n_records, known_count, mark from m left join au on abs(v) = protein_id",
+        "p6_found": f"with {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2) {near.format('c').replace('select a, b', 'select a row_index_a, b row_index_b')}",
+        "p7_found": f"with {_SETS}, sp as (select row_index, {split} s from rec), l as (select km.row_index, k from km join sp using (row_index) where s = 0), r as (select km.row_index, k, reverse(translate(k, 'ACGT', 'TGCA')) q from km join sp using (row_index) where s = 1), c as (select l.row_index a, r.row_index b, count(*) c from l join r on l.k = r.k group by 1, 2 union all select l.row_index, r.row_index, count(*) from l join r on l.k = r.q group by 1, 2), n as ({near.format('c')}) select distinct least(a, b) row_index_a, greatest(a, b) row_index_b from n",
+    }
