@@ -10,8 +10,8 @@ Z = 1.96
 
 def wilson(successes: Column, total: Column, z: float = Z) -> tuple[Column, Column, Column]:
     """(point, lower, upper) of the Wilson interval, clamped to [0, 1]; zeros where total is 0."""
-    k, n = successes.cast("double"), total.cast("double")
-    p = k / F.nullif(n, F.lit(0.0))
+    k, n = successes.cast("double"), F.nullif(total.cast("double"), F.lit(0.0))
+    p = k / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     mid, scale = p + z * z / (2 * n), 1 + z * z / n
     zero = lambda x: F.coalesce(x, F.lit(0.0))
