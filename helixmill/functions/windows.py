@@ -84,7 +84,8 @@ def pack_cells(cells: pa.Array) -> pa.Array:
     if cells.null_count:
         size[np.asarray(cells.is_null())] = 0
     data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
-    common = np.bincount(size[(size % 4 == 0) & (size < 1 << 16)].astype(np.int64)).argmax() if (size % 4 == 0).any() else 0
+    usual = size[(size % 4 == 0) & (size < 1 << 16)]
+    common = int(np.bincount(usual).argmax()) if len(usual) else 0
     if common:
         rows = np.flatnonzero(size == common)
         m = data[off[rows][:, None] + np.arange(common)] - 48
