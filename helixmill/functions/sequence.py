@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.windows import to_text, unpack, windows
+from helixmill.functions.windows import strict_bases, to_text, unpack, windows
 
 
 def _c(x: Column | str) -> Column:
@@ -25,11 +25,33 @@ def window_text(records: DataFrame) -> DataFrame:
     return windows(records).select("row_index", "window").mapInArrow(run, "row_index long, seq string")
 
 
+def _groups(b: Column) -> Column:
+    """A string of bits as hexadecimal digits, one a group of four; sixty bits are converted at a time."""
+    piece = F.transform(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1)), F.lit(60)), lambda i: F.lpad(F.conv(F.substr(b, i, F.lit(60)), 2, 16), F.ceil(F.least(F.lit(60), F.length(b) - i + 1) / 4).cast("int"), F.lit("0")))
+    return F.array_join(piece, "")
+
+
+def decode_strict(records: DataFrame, key: str = "row_index", cell: str = "sequence") -> DataFrame:
+    """(key, seq) of the cells that decode_bits decodes and that aren't empty, by matrix operations on Arrow batches: for whole tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, out = [], []
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if c and len(c) % 4 == 0 and c.isascii() and (text := strict_bases(c)) is not None:
+                    keys.append(k)
+                    out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=[key, "seq"])
+
+    src = records.where(F.col(key).isNotNull() & F.col(cell).isNotNull()).select(F.col(key).cast("long").alias(key), cell)
+    return src.mapInArrow(run, f"`{key}` long, seq string")
+
+
 def decode_bits(bits: Column | str) -> Column:
     """Bases of a strict one-hot string in A, C, G, T order; null unless every group of four is one-hot. The empty string stays empty."""
     b = _c(bits)
-    text = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(4)), F.lit(4)), lambda i: F.substring(F.lit("ACGT"), F.locate("1", F.substr(b, i, F.lit(4))), 1)), "")
-    return F.when(F.length(b) == 0, "").when(is_one_hot(b), text)
+    text = F.nullif(F.regexp_extract(F.translate(_groups(b), "8421ABCDEF", "ACGTxxxxxx"), r"^[ACGT]+\z", 0), F.lit(""))
+    return F.when(F.length(b) == 0, "").when((F.length(b) % 4 == 0) & b.rlike(r"^[01]+\z"), text)
 
 
 def encode_bases(seq: Column | str) -> Column:
@@ -42,10 +64,14 @@ def encode_bases(seq: Column | str) -> Column:
 
 
 def is_one_hot(bits: Column | str) -> Column:
-    """Whether the cell is a run of one-hot groups. Groups are taken from the left, so nothing is left over just when all are aligned;
-    a repeated group in a pattern would need stack for each."""
+    """Whether the cell is a run of one-hot groups and not empty. No pattern repeats a group: that would need stack for each."""
     b = _c(bits)
-    return (F.length(b) > 0) & (F.regexp_replace(b, "1000|0100|0010|0001", "") == "")
+    return (F.length(b) % 4 == 0) & b.rlike(r"^[01]+\z") & F.when(F.length(b) > 0, _groups(b).rlike(r"^[1248]+\z")).otherwise(False)
+
+
+def count_of(text: Column, letters: str) -> Column:
+    """How many of the letters the text has."""
+    return F.length(text) - F.length(F.translate(text, letters, ""))
 
 
 def one_hot_problem(bits: Column | str, length: Column | int) -> Column:
@@ -53,7 +79,7 @@ def one_hot_problem(bits: Column | str, length: Column | int) -> Column:
     b, n = _c(bits), F.lit(length) if isinstance(length, int) else length
     return (
         F.when(b.isNull() | (F.length(b) != n * 4), "length")
-        .when((F.regexp_count(b, F.lit("1")) != n) | (F.regexp_count(b, F.lit("0")) != n * 3), "counts")
+        .when((count_of(b, "1") != n) | (count_of(b, "0") != n * 3), "counts")
         .when(~is_one_hot(b), "groups")
     )
 
@@ -66,7 +92,7 @@ def reverse_complement(seq: Column | str) -> Column:
 def gc_fraction(seq: Column | str) -> Column:
     """G and C of either case over the whole length; 0 for the empty sequence."""
     s = _c(seq)
-    return F.when(F.length(s) == 0, 0.0).otherwise(F.regexp_count(s, F.lit("[GCgc]")) / F.length(s))
+    return F.when(F.length(s) == 0, 0.0).otherwise(count_of(s, "GCgc") / F.length(s))
 
 
 def center(seq: Column | str, length: int) -> Column:
@@ -77,11 +103,12 @@ def center(seq: Column | str, length: int) -> Column:
 
 def entropy(seq: Column | str) -> Column:
     """Shannon entropy in bits of A, C, G, T in either case; other characters are left out, 0 without any."""
-    s = F.upper(_c(seq))
-    n = [F.regexp_count(s, F.lit(b)).cast("double") for b in "ACGT"]
-    total = n[0] + n[1] + n[2] + n[3]
-    terms = [F.when(x > 0, -(x / total) * F.log2(x / total)).otherwise(0.0) for x in n]
-    return F.when(total > 0, terms[0] + terms[1] + terms[2] + terms[3]).otherwise(0.0)
+    s = _c(seq)
+    counts = F.array(*[count_of(s, x + x.lower()).cast("double") for x in "ACGT"])
+    # log2(n) - sum(k log2 k) / n, in one pass over the four counts
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("t"))
+    step = lambda a, k: F.struct((a["n"] + k).alias("n"), (a["t"] + F.when(k > 0, k * F.log2(k)).otherwise(0.0)).alias("t"))
+    return F.aggregate(counts, start, step, lambda a: F.when(a["n"] > 0, F.greatest(F.lit(0.0), F.log2(a["n"]) - a["t"] / a["n"])).otherwise(0.0))
 
 
 def decile(value: Column | str, most: float) -> Column:
@@ -102,7 +129,7 @@ def low_complexity_decile(seq: Column | str) -> Column:
 def base_classes(seq: Column | str) -> dict[str, Column]:
     """Upper-case, lower-case and other bases."""
     s = _c(seq)
-    up, low = F.regexp_count(s, F.lit("[ACGT]")), F.regexp_count(s, F.lit("[acgt]"))
+    up, low = count_of(s, "ACGT"), count_of(s, "acgt")
     return {"upper": up, "lower": low, "other": F.length(s) - up - low}
 
 

@@ -16,6 +16,7 @@ from helixmill.functions.windows import mix64
 
 SKIP_MODULUS = 1_000_000
 SEED_LENGTH = 32
+BROADCAST_SEEDS = 1_000_000
 
 
 def apply_policy(report: DataFrame, preference: tuple[str, ...] = ("genbank", "refseq")) -> DataFrame:
@@ -95,8 +96,8 @@ def exact_search(patterns: DataFrame, contigs: DataFrame) -> DataFrame:
     """(name, chrom, start, stop, strand): every place of patterns (name, seq) in contigs (id, seq), either strand, any case; a palindrome counts on both.
 
     Patterns of under SEED_LENGTH bases are refused. The first SEED_LENGTH bases of each pattern and of its reverse complement
-    are hashed; contigs send on only those places whose hash some pattern has, found through a sorted array of the patterns'
-    hashes if these are few, and the rest is an equi-join on the hash and a comparison of the texts.
+    are hashed. Up to BROADCAST_SEEDS distinct hashes go to all tasks as a sorted array, and contigs send on only the places
+    whose hash is there; with more, all places go into the join. Then follow an equi-join on the hash and a comparison of texts.
     """
     p = patterns.select("name", F.upper("seq").alias("p"))
     p = p.select("name", F.when(F.length("p") >= SEED_LENGTH, F.col("p")).otherwise(F.raise_error(F.lit(f"a pattern of under {SEED_LENGTH} bases"))).alias("p"))
@@ -118,6 +119,10 @@ def exact_search(patterns: DataFrame, contigs: DataFrame) -> DataFrame:
             h = [int(hashes(np.frombuffer(t[:SEED_LENGTH].encode(), np.uint8))[0].view(np.int64)) for t in b.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("name"), b.column("p"), b.column("strand"), pa.array(h, pa.int64())], names=["name", "p", "strand", "h"])
 
+    seeds = both.mapInArrow(run_patterns, "name string, p string, strand string, h long")
+    distinct = seeds.select("h").distinct().limit(BROADCAST_SEEDS + 1).toArrow()["h"].to_numpy()  # at most 8 MB
+    wanted = patterns.sparkSession.sparkContext.broadcast(np.sort(distinct)) if len(distinct) <= BROADCAST_SEEDS else None
+
     def run_contigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, s in zip(b.column("chrom").to_pylist(), b.column("s").to_pylist()):
@@ -125,11 +130,14 @@ def exact_search(patterns: DataFrame, contigs: DataFrame) -> DataFrame:
                     continue
                 codes = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
                 h = hashes(codes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(np.arange(len(h))), pa.array(h)], names=["chrom", "start", "h"])
+                at = np.arange(len(h))
+                if wanted is not None:
+                    w = wanted.value
+                    at = at[w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h] if len(w) else at[:0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(h[at])], names=["chrom", "start", "h"])
 
-    seeds = both.mapInArrow(run_patterns, "name string, p string, strand string, h long")
     places = c.mapInArrow(run_contigs, "chrom string, start long, h long")
-    # the places of a seed that no pattern has are dropped by the join; contigs come back for the comparison
+    # contigs come back for the comparison
     hit = places.join(seeds, "h").join(c, "chrom").where(F.substr(F.col("s"), (F.col("start") + 1).cast("int"), F.length("p")) == F.col("p"))
     return hit.select("name", "chrom", "start", (F.col("start") + F.length("p")).alias("stop"), "strand").distinct()
 
