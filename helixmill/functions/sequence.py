@@ -31,20 +31,22 @@ def _groups(b: Column) -> Column:
     return F.array_join(piece, "")
 
 
-def decode_strict(records: DataFrame, key: str = "row_index", cell: str = "sequence") -> DataFrame:
-    """(key, seq) of the cells that decode_bits decodes and that aren't empty, by matrix operations on Arrow batches: for whole tables."""
+def decode_strict(records: DataFrame, key: str = "row_index", cell: str = "sequence", with_cell: bool = False) -> DataFrame:
+    """(key, seq, with_cell the cell too) of the cells that decode_bits decodes and that aren't empty, by matrix operations on Arrow batches: for whole tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out = [], []
+            keys, out, cells = [], [], []
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if c and len(c) % 4 == 0 and c.isascii() and (text := strict_bases(c)) is not None:
                     keys.append(k)
                     out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=[key, "seq"])
+                    cells.append(c)
+            cols = [pa.array(keys, pa.int64()), pa.array(out, pa.string()), *([pa.array(cells, pa.string())] if with_cell else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "seq", *([cell] if with_cell else [])])
 
     src = records.where(F.col(key).isNotNull() & F.col(cell).isNotNull()).select(F.col(key).cast("long").alias(key), cell)
-    return src.mapInArrow(run, f"`{key}` long, seq string")
+    return src.mapInArrow(run, f"`{key}` long, seq string" + (f", `{cell}` string" if with_cell else ""))
 
 
 def decode_bits(bits: Column | str) -> Column:

@@ -96,7 +96,10 @@ def pack_cells(cells: pa.Array) -> pa.Array:
     usual = size[(size % 4 == 0) & (size < 1 << 16)]
     common = int(np.bincount(usual).argmax()) if len(usual) else 0
     if common:
-        rows = np.flatnonzero(size == common)
+        every = np.flatnonzero(size == common)
+        step = max(1, (1 << 24) // common)  # 16 MB of bits at a time
+    for lo in range(0, len(every) if common else 0, step if common else 1):
+        rows = every[lo : lo + step]
         m = data[off[rows][:, None] + np.arange(common)] - 48
         plain = (m <= 1).all(1)
         rows, m = rows[plain], m[plain]
@@ -162,6 +165,18 @@ def mix64(v: np.ndarray, seed: int = 0) -> np.ndarray:
         return v ^ (v >> np.uint64(31))
 
 
+def slices(windows: list[bytes], rows: int = 2048, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of a batch of packed windows, of at most so many rows and about so many bytes (four bases each), so that long ones don't fill memory."""
+    lo, held = 0, 0
+    for i, w in enumerate(windows):
+        if i > lo and (i - lo >= rows or held + len(w or b"") > size):
+            yield lo, i
+            lo, held = i, 0
+        held += len(w or b"")
+    if lo < len(windows):
+        yield lo, len(windows)
+
+
 def windows(df: DataFrame, key: str = "row_index", cell: str = "sequence", loaded: str | None = "loaded_at") -> DataFrame:
     """(key, window, length): the packed window of each record, once.
 

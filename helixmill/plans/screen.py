@@ -48,7 +48,7 @@ def one_hot_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def decode_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Strict cells decoded and encoded again: how many come back equal."""
-    s = records(spark, d).select("sequence", Q.decode_bits("sequence").alias("seq")).select("seq", (Q.encode_bases("seq") == F.col("sequence")).alias("equal"), F.length("seq").alias("bases"))
+    s = Q.decode_strict(records(spark, d), with_cell=True).select("seq", (Q.encode_bases("seq") == F.col("sequence")).alias("equal"), F.length("seq").alias("bases"))
     return s.agg(F.count("bases").alias("n"), F.count(F.when(F.col("equal"), 1)).alias("n_equal"), F.sum("bases").alias("bases"))
 
 
@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "windows_read": f"with {win} select row_index, seq from win",
         "one_hot_problems": "select case when sequence is null or length(sequence) <> 2000 then 'length' when length(regexp_replace(sequence, '[^1]', '', 'g')) <> 500 or length(regexp_replace(sequence, '[^0]', '', 'g')) <> 1500 then 'counts' when not regexp_full_match(sequence, '(1000|0100|0010|0001)+') then 'groups' end problem, count(*) n from tiny_coordinates_dataset group by 1",
-        "decode_round_trip": "select count(*) n, count(*) n_equal, cast(sum(length(sequence) / 4) as bigint) bases from tiny_coordinates_dataset where sequence = '' or regexp_full_match(sequence, '(1000|0100|0010|0001)+')",
+        "decode_round_trip": "select count(*) n, count(*) n_equal, cast(sum(length(sequence) / 4) as bigint) bases from tiny_coordinates_dataset where row_index is not null and regexp_full_match(sequence, '(1000|0100|0010|0001)+')",
         "strict_decode": f"with {win}, ok as (select distinct row_index from tiny_coordinates_dataset where row_index is not null and regexp_full_match(sequence, '(1000|0100|0010|0001)+')) select row_index, seq from win join ok using (row_index)",
         "reverse_complements": f"with {win} select row_index, reverse(translate(seq, 'ACGT', 'TGCA')) seq from win",
         "composition": f"with {win}, c as (select row_index, {_GC.format('seq')} gc, {_GC.format('(' + _MID + ')')} gc_101, {f('A')} a, {f('C')} c, {f('G')} g, {f('T')} t, {f('ACGT')} tt from win), e as (select *, case when tt = 0 then 0.0::double else {term('a')} + {term('c')} + {term('g')} + {term('t')} end entropy from c) select row_index, round(gc, 9) gc, round(gc_101, 9) gc_101, round(entropy, 9) entropy, cast(least(9, floor(gc * 10)) as int) gc_decile, cast(least(9, floor(greatest(0, least(1, entropy / 2.0::double)) * 10)) as int) complexity_decile from e",
