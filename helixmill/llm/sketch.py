@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.windows import Windows, complement_kmers, mix64
+from helixmill.functions.windows import Windows, complement_kmers, mix64, slices
 from helixmill.session import broadcast_if_small, materialize
 
 SEEDS = 24
@@ -100,9 +100,10 @@ def sketch(windows: DataFrame, canonical: bool = False, keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
-                w = Windows(b.column("window").to_pylist())
+            packed = whole.column("window").to_pylist()
+            for lo, hi in slices(packed):
+                b = whole.slice(lo, hi - lo)
+                w = Windows(packed[lo:hi])
                 rows, values, sizes = kmer_sets(w)
                 n = b.num_rows
                 end = np.cumsum(sizes)
@@ -159,7 +160,10 @@ class Shard:
         uniq, self.at = np.unique(ids, return_inverse=True)
         first = np.zeros(len(uniq), np.int64)
         first[self.at[::-1]] = np.arange(len(ids))[::-1]
-        self.rows, self.values, self.n8 = kmer_sets(Windows([windows[i] for i in first]))
+        own_windows = [windows[i] for i in first]
+        parts = [(lo, kmer_sets(Windows(own_windows[lo:hi]))) for lo, hi in slices(own_windows)]
+        self.rows = np.concatenate([lo + rows for lo, (rows, _, _) in parts])
+        self.values, self.n8 = (np.concatenate([x[i] for _, x in parts]) for i in (1, 2))
         self.code = codes(self.rows, self.values, len(uniq))
         self.end = np.cumsum(self.n8)
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.windows import Windows, mix64, to_text, unpack
-from helixmill.session import broadcast_if_small, materialize
+from helixmill.functions.windows import Windows, mix64, slices, to_text
+from helixmill.session import materialize
 
 LENGTH = 150
 K = 32
@@ -56,9 +56,10 @@ def anchors(windows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, 2048):
-                b = whole_batch.slice(lo, 2048)
-                w = Windows(b.column("window").to_pylist())
+            packed = whole_batch.column("window").to_pylist()
+            for lo, hi in slices(packed):
+                b = whole_batch.slice(lo, hi - lo)
+                w = Windows(packed[lo:hi])
                 v, whole = _stretches(w, length)
                 if not whole.any():
                     continue

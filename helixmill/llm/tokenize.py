@@ -47,6 +47,7 @@ class Transducer:
         self.pattern = regex.compile(PATTERN)
         self.valid = lru_cache(CACHED_WORDS)(self._valid)
         self.word = lru_cache(CACHED_WORDS)(self._word)
+        self.text_word = lru_cache(CACHED_WORDS)(self._text_word)
 
     # -- words -----------------------------------------------------------------------------------------------------------
     def _merge(self, word: bytes) -> list[bytes]:
@@ -68,6 +69,8 @@ class Transducer:
         return self._merge(a + b) == [a, b]
 
     def _word(self, word: bytes) -> tuple[int, ...]:
+        if (r := self.ranks.get(word)) is not None:
+            return (r,)  # a token is its own result in a vocabulary whose every token its merges reach
         return tuple(self.ranks[p] for p in self._merge(word))
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -141,7 +144,16 @@ class Transducer:
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        return list(self.encode(text[i : i + PIECE] for i in range(0, len(text), PIECE)))
+        if len(text) > PIECE:
+            return list(self.encode(text[i : i + PIECE] for i in range(0, len(text), PIECE)))
+        out: list[int] = []
+        for w in self.pattern.findall(text):
+            out += self.text_word(w)
+        return out
+
+    def _text_word(self, word: str) -> tuple[int, ...]:
+        b = word.encode("utf-8", "replace")
+        return self._word(b) if len(b) <= CACHED_BYTES else tuple(self.stream(b[i : i + 4096] for i in range(0, len(b), 4096)))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of ids, a piece per id; bytes of an unfinished character wait for the next."""
@@ -178,7 +190,7 @@ def token_counts(documents: DataFrame, columns: list[str], vocabulary: str = VOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(vocabulary)
         for b in batches:
-            n = [sum(1 for _ in t.encode([x])) if x else 0 for x in b.column("text_").to_pylist()]
+            n = [len(t.ids(x)) if x and len(x) <= PIECE else sum(1 for _ in t.encode(x[i : i + PIECE] for i in range(0, len(x), PIECE))) if x else 0 for x in b.column("text_").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(n, pa.int64())], names=[*columns, "n_tokens"])
 
     return src.mapInArrow(run, f"{kinds}, n_tokens long")
