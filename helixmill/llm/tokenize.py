@@ -44,6 +44,12 @@ class Transducer:
         self.ranks = ranks
         self.lookahead = max(map(len, ranks))
         self.text = {v: k for k, v in ranks.items()}
+        by_end: dict[bytes, set[int]] = {}
+        for k in ranks:
+            if len(k) > 1:
+                by_end.setdefault(k[-2:], set()).add(len(k))
+        #: Lengths of the tokens that end in two bytes, the longest first.
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
         self.pattern = regex.compile(PATTERN)
         self.valid = lru_cache(CACHED_WORDS)(self._valid)
         self.word = lru_cache(CACHED_WORDS)(self._word)
@@ -83,7 +89,9 @@ class Transducer:
             for byte in chunk:
                 data.append(byte)
                 n = len(data)
-                for size in range(min(n, most), 0, -1):
+                for size in (*self.lengths.get(bytes(data[-2:]), ()), 1):
+                    if size > n:
+                        continue
                     t = bytes(data[n - size :])
                     p = n - size
                     if t in ranks and (p == 0 or back[p] > 0 and self.valid(bytes(data[p - back[p] : p]), t)) and self._merge(t) == [t]:
