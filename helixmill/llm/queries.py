@@ -142,8 +142,16 @@ def oracle_sql() -> dict[str, str]:
     near = "select a, b from {} join sz x on x.row_index = a join sz y on y.row_index = b where c >= 0.6 * (x.n + y.n - c) - 1e-9"
     marks = f"with {sql.VAL}, f as (select v, count(*) occ, count(distinct row_index) rec from val group by 1), n as (select count(*) n from rec), m as (select v, occ, rec, case when rec <= 2 then 'rare' when rec > cast(0.05 as double) * n then 'common' end mark from f, n)"
     tie = r"regexp_replace(lower(regexp_replace(transcript_id, '^\s+|\s+$', '', 'g')), '\s*\.\d+$', '')"
+    hit = f"{sql.WIN}, st as (select row_index, i, substr(seq, i, 150) s from (select row_index, seq, unnest(range(1, length(seq) - 148)) i from win where length(seq) >= 150) where not contains(substr(seq, i, 150), 'N')), sh as (select s from st group by 1 having count(distinct row_index) > 1), hit as (select row_index, i, lag(i) over (partition by row_index order by i) p from st where s in (select s from sh))"
+    span = f"{hit}, isl as (select *, sum(case when p is null or i > p + 150 then 1 else 0 end) over (partition by row_index order by i) g from hit), span as (select row_index, cast(min(i) - 1 as int) \"start\", cast(max(i) + 149 as int) stop from isl group by row_index, g)"
+    over = f"sp as (select row_index, {split} s from rec), l as (select km.row_index, k from km join sp using (row_index) where s = 0), r as (select km.row_index, k, reverse(translate(k, 'ACGT', 'TGCA')) q from km join sp using (row_index) where s = 1), c as (select l.row_index a, r.row_index b, count(*) c from l join r on l.k = r.k group by 1, 2 union all select l.row_index, r.row_index, count(*) from l join r on l.k = r.q group by 1, 2), n as ({near.format('c')})"
+    name = "case when lower(trim(split_name)) in ('validation', 'valid', 'val') then 'validation' when lower(trim(split_name)) = 'test' then 'test' end"
     return {
-        "p1_found": f"with {sql.WIN}, st as (select row_index, i, substr(seq, i, 150) s from (select row_index, seq, unnest(range(1, length(seq) - 148)) i from win where length(seq) >= 150) where not contains(substr(seq, i, 150), 'N')), sh as (select s from st group by 1 having count(distinct row_index) > 1), hit as (select row_index, i, lag(i) over (partition by row_index order by i) p from st where s in (select s from sh)) select row_index, cast(sum(least(150, i - coalesce(p, -150))) as int) shared_nt from hit group by 1",
+        "p1_spans": f"with {span} select * from span",
+        "p1_shared_lengths": f"with {span}, x as (select row_index, count(*) k, sum(stop - \"start\") n from span group by 1) select row_index, cast(length(seq) as int) n_bases, cast(coalesce(k, 0) as int) n_spans, cast(coalesce(n, 0) as int) shared_nt, case when length(seq) > 0 then coalesce(n, 0) / cast(length(seq) as double) end shared_share from win left join x using (row_index)",
+        "p6_groups": f"with recursive {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2), n as ({near.format('c')}), e as materialized (select a, b from n union select b, a from n), sg as (select row_index, md5(string_agg(k, '' order by k)) h from km group by 1), cl as (select row_index, min(row_index) over (partition by h) class_row_index from sg), reach as (select row_index a, row_index b from sz union select r.a, e.b from reach r join e on r.b = e.a), g as (select a row_index, min(b) group_row_index from reach group by 1), dg as (select a row_index, count(*) k from e group by 1) select row_index, class_row_index, group_row_index, cast(coalesce(k, 0) as int) n_links from cl join g using (row_index) left join dg using (row_index)",
+        "p7_report": f"with {_SETS}, {over}, h as (select distinct b row_index, 1 hit from n), a as (select row_index, {name} split_name, nullif(lower(trim(source)), '') source from rec) select split_name, source, count(*) n_records, cast(coalesce(sum(hit), 0) as bigint) n_overlapping from a left join h using (row_index) where split_name is not null group by 1, 2",
+        "p1_found": f"with {hit} select row_index, cast(sum(least(150, i - coalesce(p, -150))) as int) shared_nt from hit group by 1",
         "p2_found": f"with {sql.VAL}, {_AUDIT}, t as (select sum(p + n) t from au), nn as (select count(*) // 5 n from rec), cl as (select protein_id l, p c from au union all select -protein_id, n from au), h as (select v, count(distinct row_index) k from val group by 1) select l label_value from cl left join h on l = v, t, nn where coalesce(k, 0) < greatest(1, (nn.n * c) // t)",
         "p3_found": f"""with recursive {sql.WIN}, kk as materialized (select row_index, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) k from win where seq <> ''),
 tt as (select row_index, case when t not in ('', '-', 'na', 'n/a', 'unknown', 'none', 'null') then t end t from (select row_index, {tie} t from rec)),
@@ -153,5 +161,5 @@ mem as (select a row_index, min(b) group_row_index from reach group by 1) select
         "p4_found": f"{marks} select v label_value, mark from m where mark is not null",
         "p4_frequencies": f"{marks[:-1]}), {_AUDIT} select v label_value, occ n_occurrences, rec n_records, known_count, mark from m left join au on abs(v) = protein_id",
         "p6_found": f"with {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2) {near.format('c').replace('select a, b', 'select a row_index_a, b row_index_b')}",
-        "p7_found": f"with {_SETS}, sp as (select row_index, {split} s from rec), l as (select km.row_index, k from km join sp using (row_index) where s = 0), r as (select km.row_index, k, reverse(translate(k, 'ACGT', 'TGCA')) q from km join sp using (row_index) where s = 1), c as (select l.row_index a, r.row_index b, count(*) c from l join r on l.k = r.k group by 1, 2 union all select l.row_index, r.row_index, count(*) from l join r on l.k = r.q group by 1, 2), n as ({near.format('c')}) select distinct least(a, b) row_index_a, greatest(a, b) row_index_b from n",
+        "p7_found": f"with {_SETS}, {over} select distinct least(a, b) row_index_a, greatest(a, b) row_index_b from n",
     }

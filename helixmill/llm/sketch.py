@@ -109,7 +109,7 @@ def sketch(windows: DataFrame, canonical: bool = False, keep: tuple[str, ...] =
                 end = np.cumsum(sizes)
                 sigs = []
                 for s in (1, 2):
-                    total = np.concatenate([[0], np.cumsum(mix64(values, s), dtype=np.uint64)]).astype(np.uint64)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values, s), dtype=np.uint64)])  # a plain 0 would make it floating
                     sigs.append((total[end] - total[end - sizes]).view(np.int64))
                 r, h = seeds(w, sizes, canonical)
                 off = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int32)

@@ -183,3 +183,14 @@ def test_tree_search_equals_scan():
         got = {(int(q), int(n)) for qs, ns, _ in f.search(np.arange(200), np.full(200, reach), 50) for q, n in zip(qs, ns)}
         want = {(q, n) for q in range(200) for n in range(200) if member[n] and tree[q] == tree[n] and distance(code[[q]], code[[n]])[0] <= reach}
         assert got == want
+
+
+def test_equal_sets_have_one_class(spark):
+    """A third of all records are copies, turned copies or rotations with one set of 8-mers: they make one class."""
+    rng = random.Random(9)
+    s = "".join(rng.choice("ACGT") for _ in range(500))
+    rows = [(i, s if i % 3 == 0 else "".join(rng.choice("ACGT") for _ in range(500))) for i in range(600)]
+    df = windows(spark.createDataFrame(rows, "row_index long, sequence string"))
+    assert sketch.sketch(df).select("sig_a", "sig_b", "n8").distinct().count() == 401
+    g = {r.row_index: (r.class_row_index, r.group_row_index, r.n_links) for r in neardup.groups(df).collect()}
+    assert all(g[i] == ((0, 0, 199) if i % 3 == 0 else (i, i, 0)) for i in g)
