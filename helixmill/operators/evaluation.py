@@ -200,3 +200,11 @@ def find_positive(known: DataFrame, protein_id: int, n: int = 20) -> DataFrame:
 
 def find_multi_positive(known: DataFrame, n: int = 20) -> DataFrame:
     return known.groupBy("sample_id").agg(F.sum("y").alias("positives")).where("positives > 1").orderBy("sample_id").limit(n)
+
+
+def evenly_spaced(per_label: DataFrame, column: str, n: int, item: str = "protein_id") -> DataFrame:
+    """(rank, item, column): n labels evenly spaced in the order of a metric, best first; undefined ones are left out. A row per label."""
+    one = Window.partitionBy()
+    x = per_label.where(F.col(column).isNotNull()).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), item))).withColumn("all_", F.count("*").over(one))
+    step = F.greatest(F.lit(1), F.floor(F.col("all_") / n))
+    return x.where((F.pmod(F.col("rank") - 1, step) == 0) & ((F.col("rank") - 1) / step < n)).select("rank", item, column)

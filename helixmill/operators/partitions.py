@@ -70,6 +70,12 @@ def assign(members: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, s
     return members.join(x.select("component", "split_name"), "component").select("row_index", "component", "split_name")
 
 
+def folds(members: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
+    """(row_index, component, fold): components whole in k folds of about equal size."""
+    a = assign(members, tuple((str(i), 1 / k) for i in range(k)), seed)
+    return a.select("row_index", "component", F.col("split_name").cast("int").alias("fold"))
+
+
 def balance(assigned: DataFrame, observations: DataFrame, least: int = 30, shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
     """(split_name, protein_id, y, n, share, off_share, below_minimum): classes by split. off_share: over 3 points from the target; a minimum holds outside train."""
     x = assigned.join(observations, "row_index").groupBy("split_name", "protein_id", "y").agg(F.count("*").alias("n"))

@@ -133,6 +133,11 @@ def best_and_worst_labels(spark: SparkSession, d: str) -> DataFrame:
     return top.unionByName(a.orderBy("auc", "protein_id").limit(10).withColumn("part", F.lit("bottom")))
 
 
+def evenly_spaced_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Ten labels evenly spaced by area."""
+    return E.evenly_spaced(auroc_by_label(spark, d), "auc", 10)
+
+
 def first_positives(spark: SparkSession, d: str) -> DataFrame:
     return E.find_positive(known(spark, d), 31)
 
@@ -192,7 +197,7 @@ def label_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [prediction_problems, predictions_once, auroc_by_label, average_precision_by_label, micro_average_precision, best_thresholds, grid_thresholds, confusion_by_label, confusion_at_half, binding_rates, calibration_curve]
-    own += [score_histogram, average_outputs, brier_log_loss, masked_loss, top_bindings, threshold_or_known, metric_summary, auc_lines, best_and_worst_labels, first_positives, first_multi_positives, auroc_by_fold, eligible_labels]
+    own += [score_histogram, average_outputs, brier_log_loss, masked_loss, top_bindings, threshold_or_known, metric_summary, auc_lines, best_and_worst_labels, evenly_spaced_labels, first_positives, first_multi_positives, auroc_by_fold, eligible_labels]
     own += [bootstrap_auroc, label_cooccurrence, conditional_binding, top_cobinders, asymmetric_pairs, profile_cosine, heaviest_labels, label_clusters]
     return {f.__name__: f for f in own}
 
@@ -241,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "metric_summary": w + ", m as (select unnest(['auc', 'ap', 'threshold']) metric, unnest([auc, ap, threshold]) v from au join ap using (protein_id) join th using (protein_id)) select metric, count(v) n_defined, round(avg(v), 9) mean, round(min(v), 9) lowest, round(max(v), 9) highest, round(median(v), 9) median from m group by 1",
         "auc_lines": w + "select line, count(*) filter (round(auc, 9) >= line) n_at_least, count(*) n_defined from au, (select unnest([0.5, 0.6, 0.7, 0.8, 0.9])::double line) where auc is not null group by 1",
         "best_and_worst_labels": w + ", a as (select protein_id, round(auc, 9) auc from au where auc is not null) (select *, 'top' part from a order by auc desc, protein_id limit 10) union all (select *, 'bottom' from a order by auc, protein_id limit 10)",
+        "evenly_spaced_labels": w + ", r as (select protein_id, round(auc, 9) auc, row_number() over (order by round(auc, 9) desc, protein_id) rank, count(*) over () n from au where auc is not null) select cast(rank as int) rank, protein_id, auc from r where (rank - 1) % greatest(1, n // 10) = 0 and (rank - 1) // greatest(1, n // 10) < 10",
         "first_positives": w + "select sample_id from kn where protein_id = 31 and y = 1 order by 1 limit 20",
         "first_multi_positives": w + "select sample_id, cast(sum(y) as bigint) positives from kn group by 1 having sum(y) > 1 order by 1 limit 20",
         "auroc_by_fold": w + ", fs as (select config_id, fold, sample_id, protein_id, round(avg(score), 6) score from predictions where score between 0 and 1 and fold is not null group by 1, 2, 3, 4), fk as (select config_id, fold, protein_id, y, rank() over (partition by config_id, fold, protein_id order by score) + (count(*) over (partition by config_id, fold, protein_id, score) - 1) / 2.0::double r from fs join kn using (sample_id, protein_id)), fa as (select config_id, fold, protein_id, case when sum(y) > 0 and sum(1 - y) > 0 then (sum(case when y = 1 then r else 0 end) - sum(y) * (sum(y) + 1) / 2.0::double) / (cast(sum(y) as double) * sum(1 - y)) end auc from fk group by 1, 2, 3) select config_id, protein_id, count(auc) n_folds, round(avg(auc), 9) mean_auc from fa group by 1, 2",

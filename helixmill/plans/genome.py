@@ -132,6 +132,16 @@ def partition_assignment(spark: SparkSession, d: str) -> DataFrame:
     return P.assign(_members(spark, d))
 
 
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Records of five folds of whole components."""
+    return P.folds(_members(spark, d)).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("component").alias("n_components"))
+
+
+def total_bases(spark: SparkSession, d: str) -> DataFrame:
+    c = window_text(_records(spark, d))
+    return c.agg(F.count("*").alias("n_contigs"), F.sum(F.length("seq")).alias("bases"))
+
+
 def partition_balance(spark: SparkSession, d: str) -> DataFrame:
     o = label_observations(_records(spark, d), protein_ids(_t(spark, d, "proteins")))
     return P.balance(P.assign(_members(spark, d)), o)
@@ -194,7 +204,7 @@ def sample_tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [contig_policy, contig_exclusions, policy_counts, largest_contig, contig_summaries, contig_length_problems, junction_motifs, clean_runs, probe_windows, indexed_access, exact_search, bed_problems, duplicate_groups, group_components]
-    own += [component_ids, component_gate, partition_assignment, partition_balance, cross_partition_audit, matched_negatives, kmer_baseline, listing_paths, sam_round_trip, bed_round_trip, fasta_round_trip, sample_tsv_round_trip]
+    own += [component_ids, component_gate, partition_assignment, fold_sizes, total_bases, partition_balance, cross_partition_audit, matched_negatives, kmer_baseline, listing_paths, sam_round_trip, bed_round_trip, fasta_round_trip, sample_tsv_round_trip]
     return {f.__name__: f for f in own}
 
 
@@ -225,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "policy_counts": f"with {POL} select category, reason, count(*) n, cast(sum(length) as bigint) bases from pol group by 1, 2",
         "largest_contig": f"with {POL} select accession, length from pol where reason is null order by length desc, accession limit 1",
         "contig_summaries": f"with {win} select cast(row_index as varchar) id, cast(length(seq) as int) length, cast(length(regexp_replace(seq, '[^ACGT]', '', 'g')) as int) \"upper\", 0 \"lower\", cast(length(regexp_replace(seq, '[ACGT]', '', 'g')) as int) other, 'unmasked' masking from win",
+        "total_bases": f"with {win} select count(*) n_contigs, cast(sum(length(seq)) as bigint) bases from win",
         "contig_length_problems": f"with {win} select row_index id, case when length(seq) = 0 then 'not_positive' else 'length' end problem from win where length(seq) <> 500",
         "junction_motifs": f"with {win}, j as (select case when row_index % 2 = 0 then '+' else '-' end strand, substr(seq, 101, 2) a, substr(seq, 399, 2) b from win), k as (select strand, case when strand = '-' then {_RC.format('b')} else a end donor, case when strand = '-' then {_RC.format('a')} else b end acceptor from j) select strand, donor, acceptor, case when length(donor) = 2 and length(acceptor) = 2 then donor = 'GT' and acceptor = 'AG' end canonical, count(*) n from k group by 1, 2, 3, 4",
         "clean_runs": f"with {win}, c as (select row_index, unnest(range(1, length(seq) + 1)) i, seq from win), o as (select row_index, i, i - row_number() over (partition by row_index order by i) g from c where substr(seq, i, 1) <> 'N') select cast(row_index as varchar) id, min(i) - 1 \"start\", count(*) length from o group by row_index, g",

@@ -7,8 +7,10 @@ record must fit into a task's memory; chunked() cuts long ones for everything af
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +116,40 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FAI).option("sep", "\t").option("mode", "FAILFAST").csv(path)
 
 
+def build_fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, offset, line_bases, line_bytes) of uncompressed FASTA files, each read whole by a task.
+
+    Lines of one record must be equally long but for its last; else the task raises.
+    """
+
+    def entries(content: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+        at, now = 0, None
+        for line in content.splitlines(keepends=True):
+            bare = line.rstrip(b"\r\n")
+            if line.startswith(b">"):
+                if now:
+                    yield tuple(now[:5])
+                now = [(bare[1:].split() or [b""])[0].decode(), 0, at + len(line), 0, 0, False]
+            elif now and bare:
+                if now[5] or (now[3] and len(bare) > now[3]):
+                    raise SourceError(f"uneven lines in {now[0]}")
+                if not now[3]:
+                    now[3], now[4] = len(bare), len(line)
+                now[5] = len(bare) < now[3]
+                now[1] += len(bare)
+            at += len(line)
+        if now:
+            yield tuple(now[:5])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                cols = list(zip(*entries(content))) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[f.name for f in FAI])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FAI)
+
+
 def mapping_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Mapping rows with typed columns; blanks are null."""
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "").option("mode", "FAILFAST").csv(path)

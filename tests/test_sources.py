@@ -71,6 +71,37 @@ def test_listings(spark, tmp_path):
     assert tuple(readers.fasta_index(spark, str(i)).collect()[0]) == ("chr1", 10, 6, 5, 6)
 
 
+def test_index_build(spark, tmp_path):
+    f = tmp_path / "a.fa"
+    f.write_bytes(b">a x\nACGT\nAC\n>b\r\nACG\r\n\n>c\n")
+    assert [tuple(r) for r in readers.build_fasta_index(spark, str(f)).collect()] == [("a", 6, 5, 4, 5), ("b", 3, 17, 3, 5), ("c", 0, 26, 0, 0)]
+
+
+def test_checks_and_reports(spark, tmp_path):
+    from helixmill.operators import checks as C
+    from helixmill.operators import reports as R
+
+    f = tmp_path / "x"
+    f.write_bytes(b"abc")
+    sha = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    rows = [(str(f), 3, sha), (str(f), 4, sha), (str(f), 3, "0" * 64), (str(tmp_path / "none"), 1, sha)]
+    e = spark.createDataFrame(rows, "path string, size long, sha256 string")
+    assert sorted(r.problem for r in C.file_problems(spark, e).collect()) == ["hash", "missing", "size"]
+    with pytest.raises(C.CheckError):
+        C.require(C.file_problems(spark, e))
+    C.require(C.file_problems(spark, e.limit(0)))
+    a = spark.createDataFrame([("x", "A" * 32), ("y", "b" * 32), ("z", "c" * 32)], "path string, md5 string")
+    b = spark.createDataFrame([("x", "a" * 32), ("y", "0" * 32)], "path string, md5 string")
+    assert {tuple(r) for r in C.checksum_problems(b, a).collect()} == {("y", "changed"), ("z", "not_listed")}
+    assert C.manifest_problems({"a": " "}, ("a", "b")) == ["missing: a", "missing: b"] and C.policy_problems(["refseq", "x", "x"], []) == ["unknown namespace: x", "unknown namespace: x", "repeated namespace: x", "no roles"]
+    assert len(C.preflight_problems(None, 1, 9, 8, 2, 4)) == 3
+    log = spark.createDataFrame([("[M::main] Version: 2.31",), ("[M::x] kmer size: 15; skip: 5; Error",)], "line string")
+    assert {(r.fact, r.value) for r in C.log_facts(log).collect()} == {("version", "2.31"), ("kmer", "15"), ("skip", "5"), ("error", "Error")}
+    r = R.build_report({"t": b, "u": a.limit(0)}, "one")
+    assert r["recommendation"] is None and "| x | " in R.markdown(r, "T") and "no rows" in R.markdown(r, "T")
+    assert "## one" in R.combined_markdown(R.combined_report({"one": r}, b), "all")
+
+
 def test_sinks(spark, tmp_path):
     sinks.write_json({"b": 1, "a": [2]}, str(tmp_path / "x.json"))
     assert (tmp_path / "x.json").read_text().index('"a"') < (tmp_path / "x.json").read_text().index('"b"')
