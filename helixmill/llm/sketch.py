@@ -138,6 +138,7 @@ def shards(reps: DataFrame, sides: bool = False) -> DataFrame:
     stats = rows.groupBy("seed").agg(*aggs, *[F.max(c).alias(f"any_{c}") for c in side]).where("cnt > 1")
     if sides:
         stats = stats.where("any_left and any_right")
+    stats = materialize(stats, "seeds")  # read by three plans
     light = stats.where(F.col("cnt") <= HEAVY).groupBy("cnt", "mn", "fp").agg(F.min("seed").alias("seed")).select("seed")
     few = rows.join(light, "seed").select("seed", F.lit(0).alias("block"), F.lit(True).alias("own"), "id")
     heavy = stats.where(F.col("cnt") > HEAVY).select("seed", "cnt")
