@@ -92,10 +92,10 @@ def indexed_access(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_search(spark: SparkSession, d: str) -> DataFrame:
-    """The first 60 bases of every window in all windows, on both strands."""
-    w = _windows(spark, d).where("length(seq) >= 60")
-    p = w.select(F.concat(F.lit("row_"), F.col("row_index").cast("string")).alias("name"), F.left("seq", F.lit(60)).alias("seq")).where("not contains(seq, 'N')")
-    return R.exact_search(p, _windows(spark, d).select(F.col("row_index").cast("string").alias("id"), "seq"))
+    """Every readable window of 32 bases or more in all windows, on both strands."""
+    w = _windows(spark, d)
+    p = w.where("length(seq) >= 32 and not contains(seq, 'N')").select(F.concat(F.lit("row_"), F.col("row_index").cast("string")).alias("name"), "seq")
+    return R.exact_search(p, w.select(F.col("row_index").cast("string").alias("id"), "seq"))
 
 
 def bed_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_runs": f"with {win}, c as (select row_index, unnest(range(1, length(seq) + 1)) i, seq from win), o as (select row_index, i, i - row_number() over (partition by row_index order by i) g from c where substr(seq, i, 1) <> 'N') select cast(row_index as varchar) id, min(i) - 1 \"start\", count(*) length from o group by row_index, g",
         "probe_windows": f"with {win}, h as (select row_index, seq, cast(cast(('0x' || substr(sha256(cast(row_index as varchar) || chr(31) || length(seq) || chr(31) || 'probe_window'), 1, 16)) as uhugeint) % 200 as bigint) skip from win), s as (select row_index, skip, i - 1 st, row_number() over (partition by row_index order by i) - 1 nth from (select row_index, skip, seq, unnest(range(1, length(seq) - 198)) i from h where length(seq) >= 200) where not contains(substr(seq, i, 200), 'N')) select cast(row_index as varchar) id, coalesce(max(st) filter (nth = skip), min(st)) \"start\", coalesce(max(st) filter (nth = skip), min(st)) + 200 stop from s group by row_index",
         "indexed_access": f"with {win} select cast(row_index as varchar) id, cast(95 as bigint) \"start\", cast(305 as bigint) stop, case when length(seq) >= 305 then substr(seq, 96, 210) else '' end bases from win",
-        "exact_search": f"with {win}, p as (select {sid} name, left(seq, 60) p from win where length(seq) >= 60 and not contains(left(seq, 60), 'N')), b as (select name, p, '+' strand from p union all select name, {_RC.format('p')}, '-' from p), c as (select row_index, i - 1 st, substr(seq, i, 60) s from (select row_index, seq, unnest(range(1, length(seq) - 58)) i from win where length(seq) >= 60)) select distinct name, cast(row_index as varchar) chrom, st \"start\", st + 60 stop, strand from b join c on p = s",
+        "exact_search": f"with {win}, p as (select {sid} name, seq p from win where length(seq) >= 32 and not contains(seq, 'N')), b as (select name, p, left(p, 32) k, '+' strand from p union all select name, {_RC.format('p')}, left({_RC.format('p')}, 32), '-' from p), c as (select row_index, i - 1 st, substr(seq, i, 32) k, seq from (select row_index, seq, unnest(range(1, length(seq) - 30)) i from win where length(seq) >= 32)) select distinct name, cast(row_index as varchar) chrom, st \"start\", st + length(p) stop, strand from b join c using (k) where substr(seq, st + 1, length(p)) = p",
         "bed_problems": f"with {sql.ALN}, l as (select distinct chrom, pos0 s, pos0 + 500 e, query_name, coalesce(cast(as_score as varchar), '.') sc, strand from ar), kn as (select distinct query_name from ar where strand = '+'), n as (select *, row_number() over (partition by query_name, s, e, strand) nth from l where chrom = 'chr1'), pr as (select unnest([case when query_name not in (select query_name from kn) then 'unknown_pattern' end, case when not (s >= 0 and s < e and e <= 100000000) then 'bounds' end, case when sc = '.' then 'score_not_whole' end, case when sc <> '.' and cast(nullif(sc, '.') as int) < 0 then 'score_negative' end, case when nth > 1 then 'repeated' end]) problem from n union all select 'contig' from l where chrom <> 'chr1') select problem, count(*) n from pr where problem is not null group by 1",
         "duplicate_groups": f"with {win}, k as (select row_index, least(seq, {_RC.format('seq')}) k from win where seq <> ''), g as (select k, min(row_index) group_row_index, count(*) n from k group by 1 having count(*) > 1) select row_index, group_row_index, n from k join g using (k)",
         "group_components": m + "select row_index, component from mem",
