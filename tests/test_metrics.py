@@ -96,3 +96,10 @@ def test_clusters(spark):
     c = D.clusters(spark.createDataFrame(m, "i int, j int, p double")).collect()
     assert {frozenset(r.protein_id for r in c if r.cluster == k) for k in {r.cluster for r in c}} == {frozenset({1, 2, 3}), frozenset({4, 5, 6})}
     assert D.clusters(spark.createDataFrame([], "i int, j int, p double")).count() == 0
+
+
+def test_component_of_a_hub(spark):
+    """A third of all nodes hang on one node, the rest in chains."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(10_000, 10_050)] + [(2999, 10_050)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 3051 and set(got.values()) == {0}
