@@ -10,9 +10,8 @@ when |A xor B| <= (1-t)/(1+t) * (|A|+|B|).
   0.6 at least three quarters of the 8-mers are shared. As an edit takes eight 8-mers, at most one gap comes on 32 bases, and
   half of the 16-mers are shared even if the edits stand as evenly as they can: of 24 seeds 12 are expected in common, and
   none with a probability of exp(-12). The smaller threshold of two windows holds for both.
-* Shards: the windows that hold one seed. Shards with the same members count once. Of the seeds held by over HEAVY windows
-  each window leaves out its most frequent ones, up to 30 percent of its seeds: what then is left still has several of the
-  shared seeds. Larger shards are compared block by block, so none is capped.
+* Shards: the windows that hold one seed. Shards with the same members count once. Those of over HEAVY windows are compared
+  block by block, so none is capped and no seed is left out, however frequent.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.windows import Windows, complement_kmers, mix64, slices
@@ -133,7 +132,7 @@ def shards(reps: DataFrame, sides: bool = False) -> DataFrame:
     sides those that lack one, are gone.
     """
     side = ["left", "right"] if sides else []
-    rows = reps.select("id", F.size("seeds").cast("short").alias("n"), *side, F.explode("seeds").alias("seed")).repartition("seed")
+    rows = reps.select("id", *side, F.explode("seeds").alias("seed")).repartition("seed")
     aggs = [F.count("*").alias("cnt"), F.min("id").alias("mn"), F.expr("bit_xor(xxhash64(id))").alias("fp")]
     stats = rows.groupBy("seed").agg(*aggs, *[F.max(c).alias(f"any_{c}") for c in side]).where("cnt > 1")
     if sides:
@@ -142,8 +141,7 @@ def shards(reps: DataFrame, sides: bool = False) -> DataFrame:
     light = stats.where(F.col("cnt") <= HEAVY).groupBy("cnt", "mn", "fp").agg(F.min("seed").alias("seed")).select("seed")
     few = rows.join(light, "seed").select("seed", F.lit(0).alias("block"), F.lit(True).alias("own"), "id")
     heavy = stats.where(F.col("cnt") > HEAVY).select("seed", "cnt")
-    by = Window.partitionBy("id").orderBy(F.desc("cnt"), "seed")
-    kept = rows.join(broadcast_if_small(heavy), "seed").withColumn("rank", F.row_number().over(by)).where(F.col("rank") > F.floor(F.col("n") * 0.3))
+    kept = rows.join(broadcast_if_small(heavy), "seed")
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     many = kept.withColumn("b", own).select("seed", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("block"), "b", "id").select("seed", "block", (F.col("block") == F.col("b")).alias("own"), "id")

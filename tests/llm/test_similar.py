@@ -194,3 +194,23 @@ def test_equal_sets_have_one_class(spark):
     assert sketch.sketch(df).select("sig_a", "sig_b", "n8").distinct().count() == 401
     g = {r.row_index: (r.class_row_index, r.group_row_index, r.n_links) for r in neardup.groups(df).collect()}
     assert all(g[i] == ((0, 0, 199) if i % 3 == 0 else (i, i, 0)) for i in g)
+
+
+def substituted(rng, s, places):
+    s = list(s)
+    for p in places:
+        s[p] = rng.choice([c for c in "ACGT" if c != s[p]])
+    return "".join(s)
+
+
+def test_distant_relatives_of_a_hot_family(spark, monkeypatch):
+    """The seeds common to a base and a distant variant are those that its whole family holds."""
+    monkeypatch.setattr(sketch, "HEAVY", 4)
+    rng = random.Random(11)
+    base = "".join(rng.choice("ACGT") for _ in range(500))
+    texts = [base] + [edit(rng, base, rng.randint(1, 3)) for _ in range(40)]
+    texts += [substituted(rng, base, [min(499, max(0, int((i + 0.5) * 500 / 15) + rng.randint(-3, 3))) for i in range(15)]) for _ in range(300)]
+    sets = [kmers(s) for s in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similar(sets[a], sets[b])}
+    df = windows(spark.createDataFrame(list(enumerate(texts)), "row_index long, sequence string"))
+    assert {tuple(r) for r in neardup.pairs(df).collect()} == want
