@@ -95,7 +95,7 @@ def near_duplicates(windows: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     every record with a readable 8-mer; records of one rep have equal sets (similarity 1). Records without one are in neither.
     An empty table gives empty results.
     """
-    return similar_representatives(windows, _search(threshold), canonical=False)
+    return similar_representatives(windows, _search(threshold))
 
 
 def pairs(windows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

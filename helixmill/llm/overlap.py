@@ -2,8 +2,7 @@
 
 A plain 64-bit similarity hash can't be cut into blocks here: at a similarity of 0.6 two such hashes differ in 15 of 64 bits
 (standard deviation 3.4), so a radius of 25 and blocks of two bits were needed. The fingerprint therefore has two parts: the
-blocks, which are the sampled hashes of the 16-mers or their reverse complements (equal on both strands) and are joined
-across splits, and the bits, a code of 1,024 whose Hamming distance within the radius is necessary for the similarity. The
+blocks, which are the seeds of the sketches (on the evaluation side those of either strand) and are joined across splits, and the bits, a code of 1,024 whose Hamming distance within the radius is necessary for the similarity. The
 sets themselves are compared last.
 """
 
@@ -69,7 +68,7 @@ def split_windows(records: DataFrame) -> DataFrame:
 def cross_split_links(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs (a, b, similarity) of class representatives across the splits, a class with itself included if both
     sides have records of it; members (row_index, rep, side). Records without a split or a readable 8-mer are in neither."""
-    links, members = similar_representatives(split_windows(records), _across(threshold), canonical=True, side="side")
+    links, members = similar_representatives(split_windows(records), _across(threshold), side="side")
     both = members.groupBy("rep").agg(F.count_distinct("side").alias("n")).where("n = 2").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
     return links.unionByName(both), members
 

@@ -5,11 +5,13 @@ when |A xor B| <= (1-t)/(1+t) * (|A|+|B|).
 
 * Code: 1,024 bits, each the parity of the number of distinct 8-mers hashed to it. An 8-mer that only one set holds flips one
   bit, so the Hamming distance of two codes never exceeds |A xor B|: the radius above loses no pair.
-* Seeds: the 16-mers (or the smaller of a 16-mer and its reverse complement) whose 64-bit hash lies below SEEDS / (number of
-  the window's 16-mers), so about SEEDS of each window; of short windows all 16-mers and all 8-mers. In a pair of similarity
-  0.6 at least three quarters of the 8-mers are shared. As an edit takes eight 8-mers, at most one gap comes on 32 bases, and
-  half of the 16-mers are shared even if the edits stand as evenly as they can: of 24 seeds 12 are expected in common, and
-  none with a probability of exp(-12). The smaller threshold of two windows holds for both.
+* Seeds: for each of BANDS random orders of all 8-mers the three that come first in the set, as one key. Two sets have the
+  same key just when the first three of their union are common to both, whatever the windows look like (repeats, unreadable
+  bases, rearrangements, unlike lengths). At similarity t that has a probability of about t^3, in each order anew: at 0.6 and
+  with 64 orders no key is common with a probability of at most exp(-15), for every pair of sets of over SMALL 8-mers. Sets
+  of up to SMALL / 0.6 have a complete filter besides: the first n - ceil(0.6 n) + 1 of n 8-mers in one fixed order, of which
+  sets of that similarity always share one, so no pair with a set of up to SMALL is missed. For the other strand the
+  reverse complements of one side of the join give their seeds too.
 * Shards: the windows that hold one seed. Shards with the same members count once. Those of over HEAVY windows are compared
   block by block, so none is capped and no seed is left out, however frequent.
 """
@@ -18,22 +20,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.windows import Windows, complement_kmers, mix64, slices
 from helixmill.session import broadcast_if_small, materialize
 
-SEEDS = 24
+BANDS = 64
 HEAVY = 256
 #: Members of one tree or block; what a task holds at a time.
 BLOCK = 1024
 CHUNK = 8192
 CODE_BITS = 1024
-_TINY = 64  # windows of at most so many 8-mers take all 8-mers as seeds too
+SMALL = 64
+LOWEST = Fraction(6, 10)  # the similarity for which the complete filter of small sets is made
 _BIT = (mix64(np.arange(65536), 11) % np.uint64(CODE_BITS)).astype(np.int64)
 _COMPLEMENT8 = complement_kmers(np.arange(65536, dtype=np.uint64), 8).astype(np.int64)
 
@@ -65,34 +69,74 @@ def complement_set(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return key >> 16, key & 0xFFFF
 
 
-def seeds(w: Windows, sizes: np.ndarray, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, hashes) of the distinct seeds, sorted by row."""
-    at, v = w.kmers(16)
-    if canonical:
-        v = np.minimum(v, complement_kmers(v, 16))
-    rows, h = w.row[at], mix64(v)
-    count = np.bincount(rows, minlength=len(w.size))
-    limit = np.full(len(w.size), 2**64 - 1, np.uint64)
-    large = count > SEEDS
-    limit[large] = (SEEDS / count[large] * 2.0**64).astype(np.uint64)
-    keep = h <= limit[rows]
-    rows, h = rows[keep], h[keep]
-    tiny = sizes <= _TINY
-    if tiny.any():
-        at, v = w.kmers(8)
-        if canonical:
-            v = np.minimum(v, complement_kmers(v, 8))
-        own = tiny[w.row[at]]
-        rows, h = np.concatenate([rows, w.row[at][own]]), np.concatenate([h, mix64(v[own], 7)])
-    order = np.lexsort((h, rows))
-    rows, h = rows[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-    return rows[new], h[new].view(np.int64)
-
-
-def sketch(windows: DataFrame, canonical: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row_index, *keep, window, n8, sig_a, sig_b, seeds) of the windows with a readable 8-mer. Equal sets have equal sig_a, sig_b, n8."""
+@lru_cache(1)
+def _orders() -> np.ndarray:
+    """The place of each 8-mer in each random order."""
+    out = np.empty((BANDS, 65536), np.uint16)
+    for i in range(BANDS):
+        out[i, np.argsort(mix64(np.arange(65536), 100 + i))] = np.arange(65536)
+    return out
+
+
+def seeds(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, seeds) of the sets; the keys are exact: the number of the order and three places in it."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    large = np.flatnonzero(sizes > SMALL)
+    if len(large):
+        v, n = values[sizes[rows] > SMALL], sizes[large]
+        start, at = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        for band, order in enumerate(_orders()):
+            x = order[v]
+            key = np.full(len(n), band, np.int64)
+            for k in range(3):
+                low = np.minimum.reduceat(x, start)
+                key = (key << 16) | low
+                if k < 2:
+                    x[x == low[at]] = 65535  # no set's first three of over 64 come that late
+            out.append((large, key))
+    few = (sizes > 0) & (sizes * LOWEST.numerator <= SMALL * LOWEST.denominator)
+    if few.any():
+        own = few[rows]
+        r, x = rows[own], _orders()[0][values[own]].astype(np.int64)
+        order = np.lexsort((x, r))
+        r, x = r[order], x[order]
+        n = np.bincount(r, minlength=len(sizes))
+        place = np.arange(len(r)) - (np.cumsum(n) - n)[r]
+        first = place < (n + (-n * LOWEST.numerator // LOWEST.denominator) + 1)[r]
+        out.append((r[first], (np.int64(BANDS) << 48) | x[first]))
+    return np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
+
+
+def seed_rows(reps: DataFrame, sides: bool) -> DataFrame:
+    """(id, with sides left and right, seed) of the representatives; with sides those on the right have the seeds of either strand."""
+    side = ["left", "right"] if sides else []
+    src = reps.select("id", *side, "window")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            packed = whole.column("window").to_pylist()
+            for lo, hi in slices(packed):
+                b = whole.slice(lo, hi - lo)
+                rows, values, sizes = kmer_sets(Windows(packed[lo:hi]))
+                r, k = seeds(rows, values, sizes)
+                if sides:
+                    turn = b.column("right").to_numpy(zero_copy_only=False)[rows]
+                    rows, values = complement_set(rows[turn], values[turn])
+                    r2, k2 = seeds(rows, values, np.bincount(rows, minlength=len(sizes)))
+                    r, k = np.concatenate([r, r2]), np.concatenate([k, k2])
+                    order = np.lexsort((k, r))
+                    r, k = r[order], k[order]
+                    new = np.ones(len(r), bool)
+                    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+                    r, k = r[new], k[new]
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("id", *side)], pa.array(k)], names=["id", *side, "seed"])
+
+    return src.mapInArrow(run, "id long, " + "".join(f"{c} boolean, " for c in side) + "seed long")
+
+
+def sketch(windows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_index, *keep, window, n8, sig_a, sig_b) of the windows with a readable 8-mer. Equal sets have equal sig_a, sig_b, n8."""
     cols = ["row_index", *keep, "window"]
     src = windows.select(*cols)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
@@ -102,20 +146,16 @@ def sketch(windows: DataFrame, canonical: bool = False, keep: tuple[str, ...] =
             packed = whole.column("window").to_pylist()
             for lo, hi in slices(packed):
                 b = whole.slice(lo, hi - lo)
-                w = Windows(packed[lo:hi])
-                rows, values, sizes = kmer_sets(w)
-                n = b.num_rows
+                rows, values, sizes = kmer_sets(Windows(packed[lo:hi]))
                 end = np.cumsum(sizes)
                 sigs = []
                 for s in (1, 2):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values, s), dtype=np.uint64)])  # a plain 0 would make it floating
                     sigs.append((total[end] - total[end - sizes]).view(np.int64))
-                r, h = seeds(w, sizes, canonical)
-                off = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int32)
-                out = [*b.columns, pa.array(sizes.astype(np.int32)), *[pa.array(x) for x in sigs], pa.ListArray.from_arrays(pa.array(off), pa.array(h))]
-                yield pa.RecordBatch.from_arrays(out, names=[*cols, "n8", "sig_a", "sig_b", "seeds"]).filter(pa.array(sizes > 0))
+                out = [*b.columns, pa.array(sizes.astype(np.int32)), *[pa.array(x) for x in sigs]]
+                yield pa.RecordBatch.from_arrays(out, names=[*cols, "n8", "sig_a", "sig_b"]).filter(pa.array(sizes > 0))
 
-    return src.mapInArrow(run, f"{kinds}, n8 int, sig_a long, sig_b long, seeds array<long>")
+    return src.mapInArrow(run, f"{kinds}, n8 int, sig_a long, sig_b long")
 
 
 def classes(sketched: DataFrame) -> DataFrame:
@@ -126,22 +166,22 @@ def classes(sketched: DataFrame) -> DataFrame:
 
 
 def shards(reps: DataFrame, sides: bool = False) -> DataFrame:
-    """(seed, block, own, id) of the representatives (id, n8, window, seeds and, with sides, the booleans left and right).
+    """(seed, block, own, id) of the representatives (id, window and, with sides, the booleans left and right).
 
     own: the row is a member of the block; else it only is compared with the members. Shards without two members, and with
-    sides those that lack one, are gone.
+    sides those that lack one, are gone; of shards with the same members one stays.
     """
     side = ["left", "right"] if sides else []
-    rows = reps.select("id", *side, F.explode("seeds").alias("seed")).repartition("seed")
-    aggs = [F.count("*").alias("cnt"), F.min("id").alias("mn"), F.expr("bit_xor(xxhash64(id))").alias("fp")]
-    stats = rows.groupBy("seed").agg(*aggs, *[F.max(c).alias(f"any_{c}") for c in side]).where("cnt > 1")
+    by = Window.partitionBy("seed")
+    aggs = [F.count("*").over(by).alias("cnt"), F.min("id").over(by).alias("mn"), F.expr("bit_xor(xxhash64(id))").over(by).alias("fp")]
+    shared = seed_rows(reps, sides).select("seed", "id", *aggs, *[F.max(c).over(by).alias(f"any_{c}") for c in side]).where("cnt > 1")
     if sides:
-        stats = stats.where("any_left and any_right")
-    stats = materialize(stats, "seeds")  # read by three plans
-    light = stats.where(F.col("cnt") <= HEAVY).groupBy("cnt", "mn", "fp").agg(F.min("seed").alias("seed")).select("seed")
-    few = rows.join(light, "seed").select("seed", F.lit(0).alias("block"), F.lit(True).alias("own"), "id")
-    heavy = stats.where(F.col("cnt") > HEAVY).select("seed", "cnt")
-    kept = rows.join(broadcast_if_small(heavy), "seed")
+        shared = shared.where("any_left and any_right")
+    shared = materialize(shared.select("seed", "id", "cnt", "mn", "fp"), "seeds")  # read by three plans
+    once = shared.where("id = mn").groupBy("cnt", "mn", "fp").agg(F.min("seed").alias("seed")).select("seed")
+    rows = shared.join(once, "seed")
+    few = rows.where(F.col("cnt") <= HEAVY).select("seed", F.lit(0).alias("block"), F.lit(True).alias("own"), "id")
+    kept = rows.where(F.col("cnt") > HEAVY)
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     many = kept.withColumn("b", own).select("seed", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("block"), "b", "id").select("seed", "block", (F.col("block") == F.col("b")).alias("own"), "id")
@@ -250,13 +290,13 @@ def compare_shards(shard_rows: DataFrame, reps: DataFrame, compare: Callable[[Sh
     return placed.mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def similar_representatives(windows: DataFrame, compare: Callable, canonical: bool, side: str | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_representatives(windows: DataFrame, compare: Callable, side: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, similarity) of class representatives; members (row_index, rep and the side) of all records with a readable 8-mer.
 
     side: a column of 'left' and 'right'; only pairs across count.
     """
     keep = (side,) if side else ()
-    f = materialize(sketch(windows, canonical, keep), "sketch")
+    f = materialize(sketch(windows, keep), "sketch")
     cls = materialize(classes(f), "classes")
     members = f.select("row_index", *keep).join(broadcast_if_small(cls), "row_index", "left").select("row_index", F.coalesce("rep", "row_index").alias("rep"), *keep)
     others = cls.where("row_index <> rep").select("row_index")

@@ -214,3 +214,40 @@ def test_distant_relatives_of_a_hot_family(spark, monkeypatch):
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similar(sets[a], sets[b])}
     df = windows(spark.createDataFrame(list(enumerate(texts)), "row_index long, sequence string"))
     assert {tuple(r) for r in neardup.pairs(df).collect()} == want
+
+
+def test_repeats_and_unlike_lengths(spark):
+    """Windows beside many tandem copies of themselves, and tandem repeats with substitutions in one copy."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        s = "".join(rng.choice("ACGT") for _ in range(500))
+        texts += [s, s * 20]
+    for _ in range(200):
+        unit = "".join(rng.choice("ACGT") for _ in range(70))
+        s = (unit * 8)[:500]
+        at = rng.randrange(6) * 70
+        texts += [s, substituted(rng, s, [at + int((i + 0.5) * 70 / 4) for i in range(4)])]
+    want = {(a, a + 1) for a in range(0, len(texts), 2) if similar(kmers(texts[a]), kmers(texts[a + 1]))}
+    assert len(want) > 150
+    rows = [(i, s, "train" if i % 2 else "test") for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_index long, sequence string, split_name string")
+    assert {tuple(r) for r in neardup.pairs(windows(df)).collect()} == want
+    turned = spark.createDataFrame([(i, s.translate(TURN)[::-1] if i % 2 else s, x) for i, s, x in rows], "row_index long, sequence string, split_name string")
+    assert {tuple(r) for r in overlap.cross_split_pairs(turned).collect()} == want
+
+
+def test_small_sets_share_a_seed():
+    """Whatever their size, sets of up to 64 8-mers and their partners of similarity 0.6 have a seed in common."""
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 65)] * 3:
+        a = rng.choice(65536, n, replace=False)
+        common = int(rng.integers(-(-6 * n // 10), n + 1))
+        more = max(0, int(common / 0.6) - n)
+        b = np.concatenate([a[:common], rng.integers(0, 65536, more)])
+        sets = [np.unique(a), np.unique(b)]
+        if not similar(*map(set, map(np.ndarray.tolist, sets))):
+            continue
+        sizes = np.array([len(x) for x in sets])
+        r, k = sketch.seeds(np.repeat([0, 1], sizes), np.concatenate(sets), sizes)
+        assert set(k[r == 0]) & set(k[r == 1])
