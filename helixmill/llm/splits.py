@@ -5,17 +5,19 @@ that only windows which several transcripts' groups hold are edges of the compon
 
 Groups are placed whole, tier by tier of the frequency of their rarest class. Within a tier all groups of one rarest class,
 in buckets of some thousand, go one by one to the split that still needs most of the class; the needs are brought up to date
-between tiers. To the driver come only sums by class and split, and the few groups that are large against a split.
+between tiers. Every distinct value is a class, whatever number it is; as their number has no bound, totals and needs of the
+classes stay in tables. To the driver come only records by split and tier, and the few groups that are large against a split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.labels import first_delivery
@@ -25,9 +27,7 @@ from helixmill.llm.records import record_values, transcript_key
 from helixmill.session import broadcast_if_small, materialize
 
 BUCKET = 4096
-#: Classes are the signed ids of this many proteins; all other values count as one class of either sign.
-PROTEINS = 122
-_OTHER = 1_000_000
+NO_CLASS = 99  # the tier of groups without a value, the last
 #: A group of over this share of the smallest split is placed by the driver: at most some hundreds can be.
 GIANT_SHARE = 0.05
 
@@ -67,33 +67,37 @@ def tied_groups(records: DataFrame) -> DataFrame:
     return g.join(several, "group_row_index").select("row_index", "group_row_index")
 
 
-def _needs(total: np.ndarray, shares: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """What each split needs of each class [class, split]: its share, at least its minimum as far as an even part of the class reaches."""
-    floor = np.minimum(least[None, :], (total // len(shares))[:, None])
-    need = np.maximum(total[:, None] * shares[None, :], floor)
+def _needs(total: Column, shares: np.ndarray, least: np.ndarray) -> Column:
+    """What each split needs of a class of so many records: its share, at least its minimum as far as an even part of the class reaches."""
+    need = [F.greatest(total * float(p), F.least(F.lit(float(m)), F.floor(total / len(shares))).cast("double")) for p, m in zip(shares, least)]
     big = int(np.argmax(shares))
-    need[:, big] = np.maximum(0, total - (need.sum(1) - need[:, big]))
-    return need
+    others = sum((x for i, x in enumerate(need) if i != big), F.lit(0.0))
+    need[big] = F.greatest(F.lit(0.0), total - others)
+    return F.array(*need)
 
 
-def _placer(want: np.ndarray, space: np.ndarray, weight: int, at: dict[int, int], names: list[str]):
-    """A function that places a bucket of groups of one rarest class (-1: no class): those with most of it first, each into the
-    split that needs most of it, then the one with most room. A bucket has its part of the outstanding needs and of the room."""
+def _placer(space: np.ndarray, weight: int, names: list[str]):
+    """A function that places a bucket of groups of one rarest class (null: no class): those with most of it first, each into the
+    split that needs most of it, then the one with most room. A bucket has its part of the outstanding needs and of the room.
+    A class of fewer records than splits can't follow the shares: its groups are dealt by hash in proportion to the room."""
 
     def place(t: pa.Table) -> pa.Table:
-        c = int(t["rarest"][0].as_py())
-        size = t["n_records"].to_numpy()
+        size, mine = t["n_records"].to_numpy(), t["mine"].to_numpy().astype(float)
+        known = t["need"][0].as_py()
         r = np.maximum(space, 0) * (t.num_rows / weight)
-        mine = np.array([sum(x["n"] for x in v or () if at[x["class"]] == c) if c >= 0 else s for v, s in zip(t["vector"].to_pylist(), size.tolist())], float)
-        w = np.maximum(want[c], 0) if c >= 0 else r
+        w = np.maximum(np.array(known), 0) if known else r
         w = w * (mine.sum() / w.sum()) if w.sum() > 0 else r * 1.0  # other buckets bring the rest of the need
         ids, h = t["group_row_index"].to_numpy(), t["h"].to_numpy()
         out = np.zeros(len(ids), np.int32)
-        for i in np.lexsort((ids, h, -mine)).tolist():
-            s = int(np.lexsort((-r, -np.round(w, 6)))[0])
-            w[s] -= mine[i]
-            r[s] -= size[i]
-            out[i] = s
+        if known and t["total"][0].as_py() < len(names) and r.sum() > 0:
+            u = (h.view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
+            out[:] = np.minimum(np.searchsorted(np.cumsum(r) / r.sum(), u, "right"), len(names) - 1)
+        else:
+            for i in np.lexsort((ids, h, -mine)).tolist():
+                s = int(np.lexsort((-r, -np.round(w, 6)))[0])
+                w[s] -= mine[i]
+                r[s] -= size[i]
+                out[i] = s
         return pa.table({"group_row_index": ids, "split_name": pa.array([names[s] for s in out], pa.string())})
 
     return place
@@ -107,70 +111,63 @@ def assign_splits(records: DataFrame, proteins: DataFrame, targets: DataFrame, s
     names, shares, least = [x[0] for x in t], np.array([x[1] for x in t]), np.array([x[2] for x in t], float)
     shares = shares / shares.sum()
     groups = materialize(record_groups(records), "groups")
-    v = F.col("value")
-    cls = F.when(F.abs(v).between(1, PROTEINS), v).when(v < 0, -_OTHER).otherwise(_OTHER)
-    held = record_values(records, proteins).select("row_index", cls.cast("int").alias("class")).distinct()
-    per = groups.join(held, "row_index").groupBy("group_row_index", "class").agg(F.count("*").alias("n")).groupBy("group_row_index").agg(F.array_sort(F.collect_list(F.struct("class", "n"))).alias("vector"))
+    held = record_values(records, proteins).select("row_index", F.col("value").alias("class")).distinct()
+    per = materialize(groups.join(held, "row_index").groupBy("group_row_index", "class").agg(F.count("*").alias("n")), "held")
+    totals = materialize(per.groupBy("class").agg(F.sum("n").alias("total")).withColumn("need", _needs(F.col("total"), shares, least)), "totals")
+    known = broadcast_if_small(totals)
+    rarest = per.join(known, "class").groupBy("group_row_index").agg(F.min(F.struct("total", "class", F.col("n").alias("mine"))).alias("m"))
     sizes = groups.groupBy("group_row_index").agg(F.count("*").alias("n_records"))
-    g = materialize(sizes.join(per, "group_row_index", "left"), "vectors")
-    totals = {r["class"]: int(r.n) for r in g.select(F.explode("vector").alias("x")).groupBy("x.class").agg(F.sum("x.n").alias("n")).collect()}  # at most 2 * PROTEINS + 2
+    g = materialize(sizes.join(rarest, "group_row_index", "left").select("group_row_index", "n_records", F.col("m.class").alias("rarest"), F.col("m.total").alias("total"), F.coalesce("m.mine", "n_records").alias("mine")), "vectors")
     n_all = int(g.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0])
-    classes = sorted(totals, key=lambda c: (totals[c], c))
-    at = {c: i for i, c in enumerate(classes)}
-    total = np.array([totals[c] for c in classes] or [0], float)
-    need = _needs(total, shares, least)
     room = n_all * shares  # records that each split still has room for
-    rank = F.create_map(*[F.lit(x) for c in classes for x in (c, at[c])]) if classes else None
-    rarest = F.array_min(F.transform("vector", lambda x: rank[x["class"]])) if classes else F.lit(None).cast("int")
-    g = g.withColumn("rarest", rarest)
     giant = F.col("n_records") > max(1.0, GIANT_SHARE * shares.min() * n_all)
     placed = []
 
-    big = sorted(g.where(giant).collect(), key=lambda r: (-r.n_records, r.group_row_index))
     rows = []
-    for r in big:
+    for r in sorted(g.where(giant).select("group_row_index", "n_records").collect(), key=lambda r: (-r.n_records, r.group_row_index)):
         s = int(np.argmax(room))
         room[s] -= r.n_records
-        for x in r.vector or []:
-            need[at[x["class"]], s] -= x["n"]
         rows.append((r.group_row_index, names[s]))
     spark = records.sparkSession
     if rows:
         placed.append(spark.createDataFrame(rows, "group_row_index long, split_name string"))
-    small = g.where(~giant).withColumn("rarest", F.coalesce("rarest", F.lit(-1)))
-    counts = {r.rarest: int(r.n) for r in small.groupBy("rarest").agg(F.count("*").alias("n")).collect()}  # a row per class
-    small = small.withColumn("h", F.xxhash64(F.lit(seed), "group_row_index"))
-    tiers: dict[int, list[int]] = {}
-    for c in counts:
-        tiers.setdefault(int(np.log2(max(1.0, total[c])) / 2) if c >= 0 else 99, []).append(c)
+    small = g.where(~giant).withColumn("h", F.xxhash64(F.lit(seed), "group_row_index"))
+    level = F.when(F.col("rarest").isNull(), NO_CLASS).otherwise(F.floor(F.log2(F.col("total").cast("double")) / 2).cast("int"))
+    small = materialize(small.withColumn("tier", level), "small")
+    tiers = {r.tier: int(r.n) for r in small.groupBy("tier").agg(F.count("*").alias("n")).collect()}  # a row per factor of four
+    counts = small.groupBy("rarest").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
+    buckets = materialize(small.join(broadcast_if_small(counts), small.rarest.eqNullSafe(counts.rarest)).drop(counts.rarest).withColumn("part", F.pmod("h", "parts")), "buckets")
+
+    def taken(at: DataFrame) -> DataFrame:
+        """(class, got): what the placed groups brought to each split."""
+        return per.join(at, "group_row_index").groupBy("class").agg(F.array(*[F.sum(F.when(F.col("split_name") == x, F.col("n")).otherwise(0)).cast("double") for x in names]).alias("got"))
+
     for tier in sorted(tiers):
-        own = tiers[tier]
-        parts = {c: -(-counts[c] // BUCKET) for c in own}
-        place = _placer(need.copy(), room.copy(), sum(counts[c] for c in own), at, names)
-        tier_groups = small.where(F.col("rarest").isin(own)).withColumn("part", F.pmod(F.col("h"), F.create_map(*[F.lit(x) for c in own for x in (c, parts[c])])[F.col("rarest")]))
-        got = materialize(tier_groups.groupBy("rarest", "part").applyInArrow(place, "group_row_index long, split_name string"), "placed")
+        need = totals.select("class", "need")
+        if placed and tier != NO_CLASS:
+            need = need.join(taken(_union(placed)), "class", "left").select("class", F.when(F.col("got").isNull(), F.col("need")).otherwise(F.zip_with("need", "got", lambda x, y: x - y)).alias("need"))
+        own = buckets.where(F.col("tier") == tier)
+        own = own.join(broadcast_if_small(need), own.rarest == need["class"], "left").select("group_row_index", "n_records", "mine", "h", "rarest", "part", "total", "need")
+        got = materialize(own.groupBy("rarest", "part").applyInArrow(_placer(room.copy(), tiers[tier], names), "group_row_index long, split_name string"), "placed")
         placed.append(got)
-        if tier != max(tiers):
-            both = small.select("group_row_index", "n_records", "vector").join(got, "group_row_index")
-            for r in both.groupBy("split_name").agg(F.sum("n_records").alias("n")).collect():
-                room[names.index(r.split_name)] -= r.n
-            for r in both.select("split_name", F.explode("vector").alias("x")).groupBy("split_name", "x.class").agg(F.sum("x.n").alias("n")).collect():
-                need[at[r["class"]], names.index(r.split_name)] -= r.n
+        for r in g.join(got, "group_row_index").groupBy("split_name").agg(F.sum("n_records").alias("n")).collect():
+            room[names.index(r.split_name)] -= r.n
     if not placed:
         return groups.select("row_index", "group_row_index", F.lit(None).cast("string").alias("split_name"))
-    whole = placed[0]
-    for p in placed[1:]:
-        whole = whole.unionByName(p)
-    return groups.join(whole, "group_row_index").select("row_index", "group_row_index", "split_name")
+    return groups.join(_union(placed), "group_row_index").select("row_index", "group_row_index", "split_name")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def split_report(records: DataFrame, proteins: DataFrame, targets: DataFrame) -> DataFrame:
-    """(split_name, label_value, n_records, n_class, share, target_share, minimum, met): each class of each split, share of the class's records.
+    """(split_name, label_value, n_records, n_class, share, target_share, minimum, met): each value of each split, share of its records.
 
     label_value null is the line of all records of the split. met: the minimum of the class is reached.
     """
     a = materialize(assign_splits(records, proteins, targets), "assigned")
-    v = record_values(records, proteins).select("row_index", F.col("value").alias("label_value")).where(F.abs("label_value").between(1, PROTEINS)).distinct()
+    v = record_values(records, proteins).select("row_index", F.col("value").alias("label_value")).distinct()
     per = a.join(v, "row_index").groupBy("split_name", "label_value").agg(F.count("*").alias("n_records"))
     of = per.groupBy("label_value").agg(F.sum("n_records").alias("n_class"))
     whole = a.groupBy("split_name").agg(F.count("*").alias("n_records")).withColumn("label_value", F.lit(None).cast("int")).crossJoin(F.broadcast(a.agg(F.count("*").alias("n_class"))))  # one row

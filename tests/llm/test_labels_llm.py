@@ -143,3 +143,17 @@ def test_pivotal_keeps_probabilities():
 def test_transcripts(spark):
     df = spark.createDataFrame([("TX1.4 ",), (" tx1",), ("\tTX1.2\n",), ("N/A",), ("",), (None,), ("unknown",)], "t string")
     assert [r[0] for r in df.select(transcript_key("t")).collect()] == ["tx1", "tx1", "tx1", None, None, None, None]
+
+
+def test_values_outside_the_proteins_are_classes(spark):
+    """Zero and ids beyond the proteins get shares and minima of their own and lines in the report; values of one record each don't move the shares."""
+    odd = [0, 125, 130, -125]
+    rows = [(i, f"TX{i}", str(odd[i % 4] if i < 400 else 5) if i < 2000 else str(10_000 + i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_index long, transcript_id string, labels string").selectExpr("*", "cast(null as string) as sequence", "cast(null as timestamp) as loaded_at")
+    proteins = spark.createDataFrame([(1, "AAA1")], "protein_id int, protein_name string")
+    targets = spark.createDataFrame([("train", 0.7, 0), ("validation", 0.15, 12), ("test", 0.15, 12)], "split_name string, target_share double, min_per_class int")
+    r = splits.split_report(df, proteins, targets).collect()
+    lines = {(x.label_value, x.split_name): x for x in r}
+    assert len(lines) == len(r) == 3 * (1 + 5 + 1000)
+    assert all(lines[v, s].n_class == 100 and lines[v, s].met and abs(lines[v, s].share - lines[v, s].target_share) < 0.03 for v in odd for s in ("train", "validation", "test"))
+    assert all(abs(lines[None, s].share - lines[None, s].target_share) < 0.03 for s in ("train", "validation", "test"))
