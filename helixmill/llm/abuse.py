@@ -15,7 +15,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,6 +82,63 @@ def default_lexicon() -> "Lexicon":
     return Lexicon(terms, _terms((CUES,)), [x.strip() for x in EXCEPTIONS.replace("\n", " ").split(",")])
 
 
+class Forms:
+    """A trie of words as runs of equal letters. Read with it, a run of three or more letters stands for one or two of them and
+    a character for any of its letters, so that no number of runs, of choices or of characters is too large."""
+
+    def __init__(self, forms: dict[str, str]):
+        self.kids: list[dict[str, list[tuple[int, int]]]] = [{}]  # of a node by letter: (times, node)
+        self.times, self.letter, self.word = [0], [""], [""]
+        self.rank: list[tuple[bool, int, str]] = [(True, 0, "")]
+        for form, word in sorted(forms.items()):
+            at = 0
+            for m in re.finditer(r"(.)\1*", form):
+                x, k = m[1], len(m[0])
+                to = next((n for t, n in self.kids[at].get(x, ()) if t == k), None)
+                if to is None:
+                    to = len(self.kids)
+                    self.kids[at].setdefault(x, []).append((k, to))
+                    self.kids.append({})
+                    self.times.append(k)
+                    self.letter.append(x)
+                    self.word.append("")
+                    self.rank.append((True, 0, ""))
+                at = to
+            self.word[at], self.rank[at] = word, (form != word, -len(form), form)
+
+    @staticmethod
+    def runs(some: list[str]) -> list[int]:
+        """Where the run of equal characters at each place ends."""
+        out = list(range(1, len(some) + 1))
+        for i in range(len(some) - 2, -1, -1):
+            if some[i] == some[i + 1]:
+                out[i] = out[i + 1]
+        return out
+
+    def longest(self, some: list[str], start: int, runs: list[int]) -> tuple[int, str | None]:
+        """(end, word) of the longest stretch from start that gives a word, of several words the first that isn't swapped, the
+        longest, the alphabetically first. A state is a node and how often its letter was read, as far as that matters."""
+        states, best, i, n = {(0, 0)}, (start, None), start, len(some)
+        while i < n and states:
+            new = set()
+            for at, read in states:
+                times = self.times[at]
+                whole = read == times or (read >= 3 and times <= 2)
+                for x in some[i]:
+                    if at and x == self.letter[at]:
+                        new.add((at, min(read + 1, max(times, 2) + 1)))
+                    elif whole:
+                        new.update((to, 1) for _, to in self.kids[at].get(x, ()))
+            i += 1
+            if new == states:  # nothing changes while the same character goes on
+                i = runs[i - 1]
+            states = new
+            ends = [at for at, read in states if self.word[at] and (read == self.times[at] or (read >= 3 and self.times[at] <= 2))]
+            if ends:
+                best = (i, self.word[min(ends, key=self.rank.__getitem__)])
+        return best
+
+
 class Lexicon:
     """Terms with weights and exception phrases, all folded; a phrase is a run of words."""
 
@@ -100,6 +156,7 @@ class Lexicon:
         self.hidden = {x for p, w in self.weights.items() for x in p.split() if len(x) > 2 and x not in COMMON}
         self.swapped = {x[:i] + x[i + 1] + x[i] + x[i + 2 :]: x for x in sorted(self.hidden) if len(x) > 3 for i in range(len(x) - 1) if x[i] != x[i + 1]}
         self.swapped = {k: v for k, v in self.swapped.items() if k not in self.words and k not in COMMON} | {"yuo": "you", "oyu": "you"}
+        self.forms = Forms({**self.swapped, **{x: x for x in self.words}})
         self.automaton = ahocorasick.Automaton()
         for t, w in (*self.weights.items(), *self.cues.items()):
             self.automaton.add_word(f" {t} ", (t, w))
@@ -120,25 +177,22 @@ class Lexicon:
                 if fit and (m[2] or len(m[1]) > 1):
                     return max(fit, key=lambda x: (self.weights.get(x, 0.0), -len(x), x))
             return t.replace("*", "")
-        if len(t) <= 24 and re.search(r"[0-9@$!+|€£¡]", t) and (re.search(r"[^\W\d_]", t) or re.search(r"[@$]{2}", t)):
-            some = [LEET.get(c, c) for c in t]
-            if sum(len(x) > 1 for x in some) <= 4:
-                for got in ("".join(x) for x in product(*some)):
-                    if (w := self._letters(got)) is not None:
-                        return w
+        if re.search(r"[0-9@$!+|€£¡]", t) and (re.search(r"[^\W\d_]", t) or re.search(r"[@$]{2}", t)):
+            return self._whole([LEET.get(c, c) for c in t]) or self._letters(t) or t
         return self._letters(t) or t
 
     def _letters(self, t: str) -> str | None:
         if t in self.words:
             return t
-        if re.search(r"(.)\1\1", t):
-            runs = [m[0] for m in re.finditer(r"(.)\1*", t)]
-            if sum(len(r) > 2 for r in runs) <= 5:
-                for got in product(*[(r,) if len(r) < 3 else (r[0] * 2, r[0]) for r in runs]):
-                    if (w := "".join(got)) in self.words:
-                        return w
+        if re.search(r"(.)\1\1", t) and (w := self._whole(list(t))) is not None:
+            return w
         return self.swapped.get(t)
 
+    def _whole(self, some: list[str]) -> str | None:
+        """The word that all characters give; some: the letters that each may stand for."""
+        end, w = self.forms.longest(some, 0, self.forms.runs(some))
+        return w if end == len(some) else None
+
     def fold(self, text: str) -> list[str]:
         """The document as remarks of folded words."""
         t = plain(text)
@@ -168,13 +222,12 @@ class Lexicon:
 
     def _joined(self, letters: list[str]) -> list[str]:
         """Single letters in a row, joined where they spell a word of the lexicon."""
-        out, i, n = [], 0, len(letters)
+        out, i, n, runs = [], 0, len(letters), self.forms.runs(letters)
         while i < n:
-            for j in range(min(n, i + 14), i + 2, -1):
-                if (w := self._letters("".join(letters[i:j]))) is not None:
-                    out.append(w)
-                    i = j
-                    break
+            end, w = self.forms.longest(letters, i, runs)
+            if w is not None and end - i > 2:
+                out.append(w)
+                i = end
             else:
                 out.append(letters[i])
                 i += 1

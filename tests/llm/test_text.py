@@ -109,3 +109,13 @@ def test_ratings(spark):
     x = r.join(abuse.content_scores(spark.read.parquet(f"{d}/documents.parquet")), "doc_id").groupBy((r.m > 0.5).alias("truth"), "is_abusive").count().collect()
     n = {(v.truth, v.is_abusive): v["count"] for v in x}
     assert n[True, True] / (n[True, True] + n.get((True, False), 0)) > 0.85 and n.get((False, True), 0) / (n.get((False, True), 0) + n[False, False]) < 0.03
+
+
+@pytest.mark.parametrize("word", ["aaassshhhooollleee", "b1111111tch", "mmmooottthhheeerrrfffuuuccckkkeeerrr", "4" * 20 + "$" * 30 + "h" * 9 + "0" * 40 + "1" * 25 + "3", " ".join("fffuuuuuuccccckkkkk"), "b" + "|" * 3000 + "tch"])
+def test_no_limit_of_runs_and_length(word):
+    assert abuse.score_text(L, f"see {word} there")[1] >= abuse.THRESHOLD
+
+
+def test_long_hiding_is_linear():
+    for text in ("1" * 200_000 + "x", "t " * 100_000, "t i " * 50_000, "a1" * 100_000, "i1l|" * 50_000):
+        assert abuse.score_text(L, text)[1] < abuse.THRESHOLD
