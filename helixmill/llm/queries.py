@@ -95,6 +95,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(_t(spark, d, "documents"))
 
 
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.texts_of_ids(tokenize.token_ids(_t(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.capped_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
@@ -121,7 +125,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [p1_found, p1_shared_lengths, p1_spans, p2_found, p2_sample, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_frequencies, p6_found, p6_groups]
-    own += [p7_found, p7_report, p8_ids, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates]
+    own += [p7_found, p7_report, p8_ids, p8_round_trip, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates]
     return {f.__name__: f for f in own}
 
 
@@ -161,5 +165,6 @@ mem as (select a row_index, min(b) group_row_index from reach group by 1) select
         "p4_found": f"{marks} select v label_value, mark from m where mark is not null",
         "p4_frequencies": f"{marks[:-1]}), {_AUDIT} select v label_value, occ n_occurrences, rec n_records, known_count, mark from m left join au on abs(v) = protein_id",
         "p6_found": f"with {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2) {near.format('c').replace('select a, b', 'select a row_index_a, b row_index_b')}",
+        "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
         "p7_found": f"with {_SETS}, {over} select distinct least(a, b) row_index_a, greatest(a, b) row_index_b from n",
     }

@@ -37,6 +37,42 @@ def test_long_words_stream(public, word):
     assert list(transducer(VOCABULARY).stream(b[i : i + 37] for i in range(0, len(b), 37))) == public._core_bpe.encode_single_piece(b)
 
 
+def test_every_word_passes_the_transducer(public, monkeypatch):
+    """Ids of words come from nowhere else, short and long ones; a second look at a word may come from the table."""
+    from helixmill.llm import tokenize
+
+    t, seen = tokenize.Transducer(load_ranks(VOCABULARY)), []
+    push = tokenize.Word.push
+    monkeypatch.setattr(tokenize.Word, "push", lambda self, data: seen.append(data) or push(self, data))
+    text = "Don't merge row_12 twice, it\u2019s  done.\n\n" + "ACGT" * 100 + " a " + "z" * 70
+    assert t.ids(text) == public.encode_ordinary(text)
+    assert {x.encode() for x in t.pattern.findall(text)} == set(seen)
+
+
+def test_open_words_keep_constant_memory(public):
+    from helixmill.llm import tokenize
+
+    t = transducer(VOCABULARY)
+    rng = random.Random(6)
+    for letters in ("a", "etaoinshr", "ACGT", "=-"):
+        w, most, n = tokenize.Word(t), 0, 0
+        for _ in range(60):
+            n += len(w.push("".join(rng.choice(letters) for _ in range(4096)).encode()))
+            most = max(most, len(w.last))
+        assert most <= 2 * tokenize.STEP + t.lookahead and n > 0
+    pieces = ["ab" * 40_000, "c" * 70_000, " " * 70_000, "\n" * 3, " '", "'", "r", "e" * 9, "'", "v", "x ", "", "'l", "l", "1" * 70_000, "!" * 3]
+    assert list(t.encode(pieces)) == public.encode_ordinary("".join(pieces)) and t.count("".join(pieces)) == len(public.encode_ordinary("".join(pieces)))
+
+
+def test_round_trip(spark):
+    from helixmill.llm.tokenize import texts_of_ids
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", " ", "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in texts_of_ids(token_ids(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_documents(spark):
     df = spark.createDataFrame([(1, "a b", 5), (2, None, 5), (3, "", 5), (3, "", 5), (4, " ", 5)], "doc_id long, text string, ids int")
     assert sorted((r.doc_id, list(r.ids)) for r in token_ids(df).collect()) == [(1, [64, 275]), (2, []), (3, []), (3, []), (4, [220])]
