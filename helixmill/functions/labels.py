@@ -38,6 +38,8 @@ _NOTHING_WORD = re.compile(r"(?:n/a|n\.a\.|none|null|nan|na|unknown|\?+|--?|[–
 _BLANK = re.compile(r"\s*")
 _NA = re.compile(r"n/a(?!\w)", re.I)
 _MAX = 2**31 - 1
+#: Quotes inside quotes are read to this depth; a cell nested deeper is one unreadable slot.
+DEEP = 200
 
 
 class Value(NamedTuple):
@@ -57,7 +59,10 @@ class CellParser:
         self.read = lru_cache(100_000)(self._read)
 
     def _read(self, cell: str) -> tuple[Value, ...]:
-        return tuple(self._slots(cell.strip(), True, 0))
+        try:
+            return tuple(self._slots(cell.strip(), True, 0))
+        except RecursionError:
+            return (Value(None, "unreadable"),)
 
     # -- atoms ---------------------------------------------------------------------------------------------------------
     def _atom(self, s: str, at: int = 0) -> tuple[int, int] | None:
@@ -87,9 +92,8 @@ class CellParser:
     # -- slots ---------------------------------------------------------------------------------------------------------
     def _slots(self, s: str, top: bool, depth: int) -> list[Value]:
         """All slots of s."""
-        whole = self._wrapped(s)
-        if whole is not None and depth < 8:
-            return self._slots(whole, top, depth + 1)
+        while (whole := self._wrapped(s)) is not None:
+            s = whole
         out: list[Value] = []
         i, n, fresh, bad = 0, len(s), True, False
         open_: set[tuple[str, int]] = set()  # quotes that nothing closes from here on
@@ -124,7 +128,11 @@ class CellParser:
         return None
 
     def _quoted(self, s: str, i: int, depth: int, open_: set[tuple[str, int]]) -> tuple[list[Value], int] | None:
-        """Values and end of a quoted slot at i. Longer quotes are tried first, later ends after nearer ones."""
+        """Values and end of a quoted slot at i, or None: the quote is malformed and what was read of it is given back.
+
+        Longer quotes are tried first. The end is the nearest closing quote with a delimiter, bracket, blank or nothing behind
+        it. No farther end is tried for a body that can't be read: it would start with the same text.
+        """
         q = s[i]
         closing = CLOSING.get(q, q)
         most = 1
@@ -139,7 +147,7 @@ class CellParser:
             while j + width <= len(s):
                 if s[j] in closing and all(c in closing for c in s[j : j + width]):
                     end = j + width
-                    if (end == len(s) or s[end].isspace() or s[end] in DELIMS or s[end] in BRACKETS.values()) and depth < 8:
+                    if (end == len(s) or s[end].isspace() or s[end] in DELIMS or s[end] in BRACKETS.values()) and depth < DEEP:
                         return self._body(s[i + width : j].strip(), depth), end
                 j += 1
             open_.add((q, width))
@@ -192,7 +200,7 @@ class CellParser:
         flag = "bad_quote" if bad else None
         t = text.strip()
         if (whole := self._wrapped(t)) is not None:
-            return self._slots(whole, False, 7)
+            return self._slots(whole, False, DEEP - 1)
         if t.casefold() in NOTHING:
             return []
         out: list[Value] = []
@@ -215,9 +223,9 @@ class CellParser:
 
 
 def label_values(df: DataFrame, names: dict[str, int] | None = None, key: str = "row_index", cell: str = "labels", loaded: str | None = "loaded_at") -> DataFrame:
-    """(key, pos, label_value, flag): one row per value of each record's cell.
+    """(key, pos, label_value, flag, is_first): one row per value of each record's cell.
 
-    pos counts the values of the cell from 1, repeated values each. A slot with text that can't be read has null pos and
+    pos counts the values of the cell from 1, repeated values each; is_first marks the first use of a value in its cell. A slot with text that can't be read has null pos and
     value and the flag `unreadable`; a value read from a cell with an unclosed quote has the flag `bad_quote`. Null, empty
     and blank cells give no row. Of several deliveries of a record the first loaded counts; rows without key are left out.
     """
@@ -227,18 +235,20 @@ def label_values(df: DataFrame, names: dict[str, int] | None = None, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CellParser(names)
         for b in batches:
-            keys, pos, val, flag = [], [], [], []
+            keys, pos, val, flag, new = [], [], [], [], []
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = 0
+                n, seen = 0, set()
                 for v in parser.read(c):
                     n += v.value is not None
                     keys.append(k)
                     pos.append(n if v.value is not None else None)
                     val.append(v.value)
                     flag.append(v.flag)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(val, pa.int32()), pa.array(flag, pa.string())], names=[key, "pos", "label_value", "flag"])
+                    new.append(v.value is not None and v.value not in seen)
+                    seen.add(v.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(val, pa.int32()), pa.array(flag, pa.string()), pa.array(new, pa.bool_())], names=[key, "pos", "label_value", "flag", "is_first"])
 
-    return one.mapInArrow(run, f"`{key}` long, pos int, label_value int, flag string")
+    return one.mapInArrow(run, f"`{key}` long, pos int, label_value int, flag string, is_first boolean")
 
 
 def first_delivery(df: DataFrame, key: str, columns: list[str], loaded: str | None = "loaded_at") -> DataFrame:

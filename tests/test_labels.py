@@ -64,3 +64,15 @@ def test_records(spark):
     assert got == [(1, 1, 5, None), (1, 2, 5, None), (1, 3, -7, None), (4, 1, 12, None)]
     assert [r.flag for r in label_values(df, NAMES).where("pos is null").collect()] == ["unreadable"]
     assert label_values(df.limit(0), NAMES).count() == 0
+
+
+def test_deep_nesting(parser=CellParser(NAMES)):
+    deep = "[" * 60 + "5; -7" + "]" * 60
+    assert [v.value for v in parser.read(deep)] == [5, -7]
+    assert [v.value for v in parser.read("1;(2;(3;(4;(5;(6;(7;(8;(9;(10)))))))))")] == list(range(1, 11))
+    assert [v.flag for v in parser.read("1;(" * 5000 + ")" * 5000)] == ["unreadable"]
+
+
+def test_first_use(spark):
+    df = spark.createDataFrame([(1, "5;5;-5;x;5"), (2, "5")], "row_index long, labels string")
+    assert [(r.row_index, r.label_value) for r in label_values(df, NAMES).where("is_first").orderBy("row_index", "pos").collect()] == [(1, 5), (1, -5), (2, 5)]
