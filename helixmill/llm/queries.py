@@ -75,6 +75,12 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return m.join(known, F.abs("value") == F.col("protein_id"), "left").select(F.col("value").cast("int").alias("label_value"), "n_occurrences", "n_records", "known_count", "mark")
 
 
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    terms = materialize(frequency.document_terms(docs), "terms")
+    return frequency.marked_counts(terms, docs.where("doc_id is not null").count(), key="doc_id").withColumnRenamed("value", "term").withColumnRenamed("n_records", "n_documents")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(windows(_records(spark, d)))
 
@@ -124,7 +130,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_shared_lengths, p1_spans, p2_found, p2_sample, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_frequencies, p6_found, p6_groups]
+    own = [p1_found, p1_shared_lengths, p1_spans, p2_found, p2_sample, p2_report, p3_found, p3_splits, p3_report, p4_found, p4_frequencies, p4_terms, p6_found, p6_groups]
     own += [p7_found, p7_report, p8_ids, p8_round_trip, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates]
     return {f.__name__: f for f in own}
 
@@ -164,6 +170,7 @@ ed as materialized (select a, b from star where a <> b union select b, a from st
 mem as (select a row_index, min(b) group_row_index from reach group by 1) select row_index, group_row_index from mem where group_row_index in (select group_row_index from mem group by 1 having count(*) > 1)""",
         "p4_found": f"{marks} select v label_value, mark from m where mark is not null",
         "p4_frequencies": f"{marks[:-1]}), {_AUDIT} select v label_value, occ n_occurrences, rec n_records, known_count, mark from m left join au on abs(v) = protein_id",
+        "p4_terms": "with w as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) term from documents), c as (select term, count(*) n_occurrences, count(distinct doc_id) n_documents from w group by 1), n as (select count(*) n from documents) select term, n_occurrences, n_documents, case when n_documents <= 2 then 'rare' when n_documents > cast(0.05 as double) * n then 'common' end mark from c, n",
         "p6_found": f"with {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2) {near.format('c').replace('select a, b', 'select a row_index_a, b row_index_b')}",
         "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
         "p7_found": f"with {_SETS}, {over} select distinct least(a, b) row_index_a, greatest(a, b) row_index_b from n",

@@ -20,8 +20,13 @@ def protein_names(proteins: DataFrame) -> dict[str, int]:
 
 
 def record_values(records: DataFrame, proteins: DataFrame) -> DataFrame:
-    """(row_index, value): every value of every record, repeated ones too; a record's values stand together."""
-    return label_values(records, protein_names(proteins)).where("label_value is not null").select("row_index", F.col("label_value").alias("value"))
+    """(row_index, value, is_first): every value of every record, repeated ones too; is_first at a value's first use in the record."""
+    return label_values(records, protein_names(proteins)).where("label_value is not null").select("row_index", F.col("label_value").alias("value"), "is_first")
+
+
+def held_values(records: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(row_index, value): each distinct value of each record once."""
+    return record_values(records, proteins).where("is_first").select("row_index", "value")
 
 
 def newest_audit(audit: DataFrame) -> DataFrame:

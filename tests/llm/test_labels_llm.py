@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from helixmill.llm import frequency, sampling, splits
-from helixmill.llm.records import newest_audit, transcript_key
+from helixmill.llm.records import newest_audit, record_values, transcript_key
 
 T = dt.datetime(2025, 1, 1)
 TURN = str.maketrans("ACGTN", "TGCAN")
@@ -33,6 +33,22 @@ def test_counts(spark, monkeypatch):
     assert 7 in frequency.heavy_values(df)
 
 
+def test_counts_over_straddling_splits(spark, tmp_path):
+    """A record whose values lie in several row groups, read in several splits, counts once; so do strings."""
+    df = spark.createDataFrame([(1, ";".join(["5"] * 3 + [str(i) for i in range(6, 400)] + ["5"] * 2)), (2, "5")], "row_index long, labels string")
+    v = record_values(df, spark.createDataFrame([(1, "AAA1")], "protein_id int, protein_name string"))
+    v.coalesce(1).write.option("parquet.block.size", 1024).option("parquet.page.size", 256).parquet(str(tmp_path / "v"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        back = spark.read.parquet(str(tmp_path / "v"))
+        assert {r.value: (r.n_occurrences, r.n_records) for r in frequency.value_counts(back).where("value < 8").collect()} == {5: (6, 2), 6: (1, 1), 7: (1, 1)}
+        bare = back.selectExpr("row_index", "concat('t', value) as value").repartition(5)
+        assert {r.value: (r.n_occurrences, r.n_records) for r in frequency.value_counts(bare).where("value < 't51'").collect()}["t5"] == (6, 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def records(spark, n=900, seed=3):
     rng = random.Random(seed)
     rows, seqs = [], []
