@@ -86,17 +86,21 @@ def test_mixture(spark, monkeypatch):
     docs = big + [(1000 + i, "word " * 30, "small") for i in range(20)] + [(2000, "x " * 50, None), (2001, None, "small"), (2002, "", "big"), (2003, "y", "other"), (None, "z", "big")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as n_tokens", "2 as copies")
     t = spark.createDataFrame([("big", 0.6, 3), ("small", 0.3, 4), ("none", 0.1, 2), (None, 0.1, 1)], "source string, target_weight double, max_repeats int")
-    rep = {r.source: r for r in mixing.report(df, t).collect()}
+    both = mixing.report(df, t).collect()
+    rep = {r.source: r for r in both if r.mode == "whole"}
     assert {k: r.capped for k, r in rep.items()} == {"big": False, "small": True, "none": True}
     assert {r.source for r in mixing.capped_sources(df, t).collect()} == {"small", "none"}
-    m = mixing.mixture(df, t).collect()
+    kept = {r.source: r for r in both if r.mode == "shares"}
+    assert kept["big"].actual_share == pytest.approx(0.6 / 0.9, abs=0.02) and kept["small"].actual_share == pytest.approx(0.3 / 0.9, abs=0.02) and kept["none"].drawn_tokens == 0
+    assert all(r.share_ok and r.repeats_ok for r in mixing.share_checks(df, t).collect())
+    m = mixing.mixture(df, t, mode="whole").collect()
     assert len({r.doc_id for r in m}) == len(m) and all(1 <= r.copies <= 4 for r in m if r.source == "small") and {r.source for r in m} == {"big", "small"}
     assert sum(r.copies for r in m if r.source == "small") == 4 * 21  # the document without text is a document too
     all_tokens = sum(r.source_tokens for r in rep.values()) + 50 * 2 + 1
     assert rep["big"].drawn_tokens == pytest.approx(0.6 * all_tokens, rel=0.06)
     copies = [r.copies for r in m if r.source == "big"]
     assert max(copies) - min(copies) <= 1 and abs(sum(r.actual_share for r in rep.values()) - 1) < 1e-9
-    assert mixing.mixture(df.limit(0), t).count() == 0 and mixing.report(df.limit(0), t).count() == 3
+    assert mixing.mixture(df.limit(0), t).count() == 0 and mixing.report(df.limit(0), t).count() == 6
 
 
 L = abuse.default_lexicon()
