@@ -1,4 +1,4 @@
-"""Session settings, the shared folder for intermediate tables, and size-checked broadcasts."""
+"""Session settings, the shared folder for intermediate tables, size-checked broadcasts, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows of a few numbers each may be broadcast (some 20 MB).
-BROADCAST_ROWS = 200_000
+#: A side with at most so many rows of a few numbers each may be broadcast (some 5 MB).
+BROADCAST_ROWS = 50_000
+#: A key of more rows than this and than a part in HOT_KEYS of all rows is hot; so there are at most HOT_KEYS of them.
+HOT_ROWS = 200_000
+HOT_KEYS = 5_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -55,7 +58,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_ = path
+    return back
 
 
 def release() -> None:
@@ -71,5 +76,25 @@ def release() -> None:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted without reading more); else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows; else for a shuffled join. It is written first unless it is a
+    table of materialize(), so that it isn't worked out twice; the count then reads the files' footers."""
+    t = df if hasattr(df, "written_") else materialize(df, "side")
+    return F.broadcast(t) if t.count() <= rows else t
+
+
+def hot_keys(counts: DataFrame, key: str, n_rows: int) -> list:
+    """The hot keys of a table of n_rows rows, from its counts (key, n): at most HOT_KEYS. No job runs where there can't be any."""
+    if n_rows <= HOT_ROWS:
+        return []
+    return [r[0] for r in counts.where(F.col("n") > max(HOT_ROWS, n_rows // HOT_KEYS)).select(key).collect()]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), how inner or left, right with one row a key. Rows of hot keys stay where they are and get the
+    at most HOT_KEYS rows of right by broadcast; only the others are shuffled. AQE can't do that: right is mostly an aggregate
+    by the key, and it splits a partition only where both sides come straight from a shuffle."""
+    if not hot:
+        return left.join(right, key, how)
+    own = F.col(key).isin(hot)
+    spread = left.where(own).join(F.broadcast(right.where(own)), key, how)
+    return spread.unionByName(left.where(~own | F.col(key).isNull()).join(right.where(~own), key, how))
