@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from helixmill import session
 from helixmill.llm import frequency, sampling, splits
 from helixmill.llm.records import newest_audit, record_values, transcript_key
 
@@ -87,16 +88,19 @@ def brute_groups(rows):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_groups_and_splits(spark, seed):
+def test_groups_and_splits(spark, seed, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 100)  # seed 4: one transcript of a third of all rows
+    monkeypatch.setattr(session, "HOT_KEYS", 20)
+    monkeypatch.setattr(splits, "BUCKET", 200)  # several buckets
     rows, df = records(spark, seed=seed)
     truth = brute_groups(rows)
     assert {r.row_index: r.group_row_index for r in splits.record_groups(df).collect()} == truth
     sizes = {}
     for g in truth.values():
         sizes[g] = sizes.get(g, 0) + 1
-    assert {r.row_index: r.group_row_index for r in splits.tied_groups(df).collect()} == {i: g for i, g in truth.items() if sizes[g] > 1}
     proteins = spark.createDataFrame([(1, "AAA1")], "protein_id int, protein_name string")
     targets = spark.createDataFrame([("train", 0.7, 0), ("validation", 0.15, 3), ("test", 0.15, 3)], "split_name string, target_share double, min_per_class int")
+    assert {r.row_index: r.group_row_index for r in splits.tied_groups(df, proteins, targets).collect()} == {i: g for i, g in truth.items() if sizes[g] > 1}
     a = {r.row_index: r.split_name for r in splits.assign_splits(df, proteins, targets).collect()}
     assert set(a) == set(truth) and len({(truth[i], s) for i, s in a.items()}) == len(set(truth.values()))
     share = {s: sum(x == s for x in a.values()) / len(a) for s in ("train", "validation", "test")}
@@ -104,7 +108,7 @@ def test_groups_and_splits(spark, seed):
     r = splits.split_report(df, proteins, targets).where("label_value is not null").collect()
     frequent = [x for x in r if x.n_class >= 40]
     assert frequent and all(abs(x.share - x.target_share) < 0.12 for x in frequent)
-    assert splits.assign_splits(df.limit(0), proteins, targets).count() == 0 and splits.tied_groups(df.limit(0)).count() == 0
+    assert splits.assign_splits(df.limit(0), proteins, targets).count() == 0 and splits.tied_groups(df.limit(0), proteins, targets).count() == 0
 
 
 def audit(spark, counts):
@@ -173,3 +177,21 @@ def test_values_outside_the_proteins_are_classes(spark):
     assert len(lines) == len(r) == 3 * (1 + 5 + 1000)
     assert all(lines[v, s].n_class == 100 and lines[v, s].met and abs(lines[v, s].share - lines[v, s].target_share) < 0.03 for v in odd for s in ("train", "validation", "test"))
     assert all(abs(lines[None, s].share - lines[None, s].target_share) < 0.03 for s in ("train", "validation", "test"))
+
+
+def test_minima_and_shares(spark):
+    """Feasible minima are all met, infeasible ones leave the shares, large classes keep theirs; in one bucket and in many."""
+    rng = random.Random(8)
+    rows = [(i, f"TX{rng.randrange(4000) if i % 2 else 10**6 + i}", ";".join(str(rng.choice([rng.randint(1, 20), 200 + int(rng.paretovariate(0.3)) % 60])) for _ in range(rng.choice([0, 1, 1, 1, 2])))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "row_index long, transcript_id string, labels string").selectExpr("*", "cast(null as string) as sequence", "cast(null as timestamp) as loaded_at")
+    proteins = spark.createDataFrame([(1, "AAA1")], "protein_id int, protein_name string")
+    targets = spark.createDataFrame([("train", 0.7, 0), ("validation", 0.15, 20), ("test", 0.15, 20)], "split_name string, target_share double, min_per_class int")
+    for size in (40_000, 1000):
+        splits.BUCKET, kept = size, splits.BUCKET
+        try:
+            assert all(x.shares_ok and x.minima_ok and x.classes_ok for x in splits.split_checks(df, proteins, targets).collect())
+            r = splits.split_report(df, proteins, targets).collect()
+        finally:
+            splits.BUCKET = kept
+        assert all(abs(x.share - x.target_share) < 0.01 for x in r if x.label_value is None)
+        assert all(x.met for x in r if x.feasible) and any(not x.feasible for x in r)
