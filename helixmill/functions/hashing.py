@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,8 @@ def quota_rank(seed: int, sample_id: Column, protein_id: Column, label_class: Co
 
 def control_seed(seed: int, sample_id: Column, attempt: Column | int) -> Column:
     return hash_rank(seed, "control", sample_id, attempt)
+
+
+def control_seed_of(seed: int, sample_id: str, attempt: int) -> int:
+    """control_seed as a number, for code in Arrow batches."""
+    return int(sha256(f"{seed}\x1fcontrol\x1f{sample_id}\x1f{attempt}".encode()).hexdigest()[:16], 16)
