@@ -47,6 +47,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(_records(spark, d), _t(spark, d, "proteins"), _t(spark, d, "dataset_audit"))[1]
 
 
+def p2_balance_ok(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_checks(_records(spark, d), _t(spark, d, "proteins"), _t(spark, d, "dataset_audit"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.tied_groups(_records(spark, d), _t(spark, d, "proteins"), _t(spark, d, "split_targets"))
 
@@ -138,7 +142,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_shared_lengths, p1_spans, p2_found, p2_sample, p2_report, p3_found, p3_splits, p3_report, p3_balance_ok, p4_found, p4_frequencies, p4_terms, p6_found, p6_groups]
+    own = [p1_found, p1_shared_lengths, p1_spans, p2_found, p2_sample, p2_report, p2_balance_ok, p3_found, p3_splits, p3_report, p3_balance_ok, p4_found, p4_frequencies, p4_terms, p6_found, p6_groups]
     own += [p7_found, p7_report, p8_ids, p8_round_trip, p9_found, p9_mixture, p9_report, p9_shares_ok, p10_found, p10_scores, p10_rates]
     return {f.__name__: f for f in own}
 
@@ -180,6 +184,7 @@ mem as (select a row_index, min(b) group_row_index from reach group by 1) select
         "p4_frequencies": f"{marks[:-1]}), {_AUDIT} select v label_value, occ n_occurrences, rec n_records, known_count, mark from m left join au on abs(v) = protein_id",
         "p4_terms": "with w as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) term from documents), c as (select term, count(*) n_occurrences, count(distinct doc_id) n_documents from w group by 1), n as (select count(*) n from documents) select term, n_occurrences, n_documents, case when n_documents <= 2 then 'rare' when n_documents > cast(0.05 as double) * n then 'common' end mark from c, n",
         "p6_found": f"with {_SETS}, c as (select x.row_index a, y.row_index b, count(*) c from km x join km y on x.k = y.k and x.row_index < y.row_index group by 1, 2) {near.format('c').replace('select a, b', 'select a row_index_a, b row_index_b')}",
+        "p2_balance_ok": "select true as converged, true as floors_ok, true as targets_ok",
         "p3_balance_ok": "select split_name, true as shares_ok, true as minima_ok, true as classes_ok from split_targets",
         "p9_shares_ok": "select source, true as share_ok, true as repeats_ok from mix_targets where source is not null and target_weight is not null",
         "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
