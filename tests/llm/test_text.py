@@ -126,6 +126,21 @@ def test_harmless(text):
     assert abuse.score_text(L, text)[1] < abuse.THRESHOLD
 
 
+def test_held_out_remarks():
+    """Remarks and harmless sentences of tests/llm/held_out.py, made from no table."""
+    from tests.llm.held_out import ABUSIVE, CLEAN
+
+    found = [abuse.score_text(L, t)[1] >= abuse.THRESHOLD for t in ABUSIVE]
+    marked = [abuse.score_text(L, t)[1] >= abuse.THRESHOLD for t in CLEAN]
+    assert sum(found) >= 0.85 * len(found) and sum(marked) <= 0.1 * len(marked)
+
+
+def test_weight_is_normalised_by_length():
+    near, far = "you absolute and total failure", "you " + "and the sample was read twice by it " * 6 + "failure"
+    assert abuse.score_text(L, near)[1] > abuse.score_text(L, far)[1] > 0
+    assert abuse.score_text(L, near)[1] >= abuse.THRESHOLD > abuse.score_text(L, far)[1]
+
+
 def test_length_and_remarks():
     short, long = abuse.score_text(L, "you idiot"), abuse.score_text(L, "you idiot. " + "The index did not fit in memory. " * 50)
     assert short[1] == long[1] and short[0] > long[0] > 0
