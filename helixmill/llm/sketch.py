@@ -13,7 +13,12 @@ when |A xor B| <= (1-t)/(1+t) * (|A|+|B|).
   sets of that similarity always share one, so no pair with a set of up to SMALL is missed. For the other strand the
   reverse complements of one side of the join give their seeds too.
 * Shards: the windows that hold one seed. Shards with the same members count once. Those of over HEAVY windows are compared
-  block by block, so none is capped and no seed is left out, however frequent.
+  block by block, so none is capped and no seed is left out, however frequent. Blocks of one shard make work that grows with
+  its square. All windows that stand in a shard of over CROWD therefore get finer seeds instead, the first five in each of
+  200 orders: windows that only have a repeat in common rarely share one, similar ones miss each other with a probability of
+  exp(-15) again. Of such pairs the shards are the similar windows themselves.
+* Hot seeds: those that a sample finds in a fortieth of all windows. Their rows are counted in parts and the parts added up;
+  the sample only decides how a seed is counted, each count is exact.
 """
 
 from __future__ import annotations
@@ -28,10 +33,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.windows import Windows, complement_kmers, mix64, slices
-from helixmill.session import broadcast_if_small, materialize
+from helixmill.session import broadcast_if_small, hot_join, materialize
 
 BANDS = 64
 HEAVY = 256
+#: Members of a shard from which its windows get finer seeds: how many orders, first places and readable 8-mers these take.
+CROWD = 32_768
+COARSE, FINE = (BANDS, 3, 64), (200, 5, 16)
+#: Windows from which hot seeds are looked for, in one of so many windows; parts in which they are counted.
+HOT_WINDOWS, HOT_SHARE, ONE_IN, SALTS = 200_000, 40, 64, 256
+#: Blocks whose windows are compared with a block's members in one go.
+STRIPE = 16
 #: Members of one tree or block; what a task holds at a time.
 BLOCK = 1024
 CHUNK = 8192
@@ -69,60 +81,65 @@ def complement_set(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return key >> 16, key & 0xFFFF
 
 
-@lru_cache(1)
-def _orders() -> np.ndarray:
+@lru_cache(2)
+def _orders(bands: int) -> np.ndarray:
     """The place of each 8-mer in each random order."""
-    out = np.empty((BANDS, 65536), np.uint16)
-    for i in range(BANDS):
+    out = np.empty((bands, 65536), np.uint16)
+    for i in range(bands):
         out[i, np.argsort(mix64(np.arange(65536), 100 + i))] = np.arange(65536)
     return out
 
 
-def seeds(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, seeds) of the sets; the keys are exact: the number of the order and three places in it."""
+def seeds(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, level: tuple[int, int, int] = COARSE) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, seeds) of the sets. level: orders, first places, and the size up to which sets have no such keys. Keys of three places
+    are exact: the number of the order and the places; those of more are hashes, which may bring together what needn't be compared."""
+    bands, first_places, small = level
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    large = np.flatnonzero(sizes > SMALL)
+    large = np.flatnonzero(sizes > small)
     if len(large):
-        v, n = values[sizes[rows] > SMALL], sizes[large]
+        v, n = values[sizes[rows] > small], sizes[large]
         start, at = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-        for band, order in enumerate(_orders()):
+        for band, order in enumerate(_orders(bands)):
             x = order[v]
             key = np.full(len(n), band, np.int64)
-            for k in range(3):
+            for k in range(first_places):
                 low = np.minimum.reduceat(x, start)
-                key = (key << 16) | low
-                if k < 2:
-                    x[x == low[at]] = 65535  # no set's first three of over 64 come that late
-            out.append((large, key))
-    few = (sizes > 0) & (sizes * LOWEST.numerator <= SMALL * LOWEST.denominator)
+                key = (key << 16) | low if first_places <= 3 else mix64(key.view(np.uint64) ^ low.astype(np.uint64), 70 + k).view(np.int64)
+                if k < first_places - 1:
+                    x[x == low[at]] = 65535  # no set's first ones come that late
+            out.append((large, key if first_places <= 3 else key | np.int64(-(2**63))))
+    few = (sizes > 0) & (sizes * LOWEST.numerator <= small * LOWEST.denominator)
     if few.any():
         own = few[rows]
-        r, x = rows[own], _orders()[0][values[own]].astype(np.int64)
+        r, x = rows[own], _orders(bands)[0][values[own]].astype(np.int64)
         order = np.lexsort((x, r))
         r, x = r[order], x[order]
         n = np.bincount(r, minlength=len(sizes))
         place = np.arange(len(r)) - (np.cumsum(n) - n)[r]
         first = place < (n + (-n * LOWEST.numerator // LOWEST.denominator) + 1)[r]
-        out.append((r[first], (np.int64(BANDS) << 48) | x[first]))
+        out.append((r[first], (np.int64(bands) << 48) | x[first]))
     return np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
 
 
-def seed_rows(reps: DataFrame, sides: bool) -> DataFrame:
-    """(id, with sides left and right, seed) of the representatives; with sides those on the right have the seeds of either strand."""
+def seed_rows(reps: DataFrame, sides: bool, level: tuple[int, int, int] = COARSE, hot: tuple[int, ...] = ()) -> DataFrame:
+    """(id, with sides left and right, seed, salt) of the representatives; with sides those on the right have the seeds of either
+    strand. salt is -1, but one of SALTS parts by id for hot seeds."""
     side = ["left", "right"] if sides else []
     src = reps.select("id", *side, "window")
+    parts = SALTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.array(sorted(hot), np.int64)
         for whole in batches:
             packed = whole.column("window").to_pylist()
             for lo, hi in slices(packed):
                 b = whole.slice(lo, hi - lo)
                 rows, values, sizes = kmer_sets(Windows(packed[lo:hi]))
-                r, k = seeds(rows, values, sizes)
+                r, k = seeds(rows, values, sizes, level)
                 if sides:
                     turn = b.column("right").to_numpy(zero_copy_only=False)[rows]
                     rows, values = complement_set(rows[turn], values[turn])
-                    r2, k2 = seeds(rows, values, np.bincount(rows, minlength=len(sizes)))
+                    r2, k2 = seeds(rows, values, np.bincount(rows, minlength=len(sizes)), level)
                     r, k = np.concatenate([r, r2]), np.concatenate([k, k2])
                     order = np.lexsort((k, r))
                     r, k = r[order], k[order]
@@ -130,9 +147,22 @@ def seed_rows(reps: DataFrame, sides: bool) -> DataFrame:
                     new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
                     r, k = r[new], k[new]
                 at = pa.array(r)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("id", *side)], pa.array(k)], names=["id", *side, "seed"])
+                salt = np.full(len(k), -1, np.int32)
+                if len(often):
+                    own = np.isin(k, often)
+                    salt[own] = mix64(b.column("id").to_numpy()[r[own]].view(np.uint64), 9) % np.uint64(parts)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("id", *side)], pa.array(k), pa.array(salt)], names=["id", *side, "seed", "salt"])
 
-    return src.mapInArrow(run, "id long, " + "".join(f"{c} boolean, " for c in side) + "seed long")
+    return src.mapInArrow(run, "id long, " + "".join(f"{c} boolean, " for c in side) + "seed long, salt int")
+
+
+def hot_seeds(reps: DataFrame, sides: bool, n: int, level: tuple[int, int, int] = COARSE) -> list[int]:
+    """The seeds that are likely held by a share of 1 / HOT_SHARE of the n windows: at most 2 * HOT_SHARE times the seeds of a window."""
+    if n <= HOT_WINDOWS:
+        return []
+    some = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(ONE_IN)) == 0)
+    often = seed_rows(some, sides, level).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= n / HOT_SHARE / ONE_IN)
+    return [r.seed for r in often.select("seed").collect()]
 
 
 def sketch(windows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -165,27 +195,45 @@ def classes(sketched: DataFrame) -> DataFrame:
     return sketched.select("row_index", *sig).join(broadcast_if_small(several), sig).select("row_index", "rep")
 
 
-def shards(reps: DataFrame, sides: bool = False) -> DataFrame:
-    """(seed, block, own, id) of the representatives (id, window and, with sides, the booleans left and right).
+def shards(reps: DataFrame, n: int, sides: bool = False, level: tuple[int, int, int] = COARSE) -> DataFrame:
+    """(seed, block, own, id) of the representatives (id, window and, with sides, the booleans left and right), n of them or fewer.
 
     own: the row is a member of the block; else it only is compared with the members. Shards without two members, and with
     sides those that lack one, are gone; of shards with the same members one stays.
     """
     side = ["left", "right"] if sides else []
-    by = Window.partitionBy("seed")
-    aggs = [F.count("*").over(by).alias("cnt"), F.min("id").over(by).alias("mn"), F.expr("bit_xor(xxhash64(id))").over(by).alias("fp")]
-    shared = seed_rows(reps, sides).select("seed", "id", *aggs, *[F.max(c).over(by).alias(f"any_{c}") for c in side]).where("cnt > 1")
-    if sides:
-        shared = shared.where("any_left and any_right")
-    shared = materialize(shared.select("seed", "id", "cnt", "mn", "fp"), "seeds")  # read by three plans
+    hot = hot_seeds(reps, sides, n, level)
+    by = Window.partitionBy("seed", "salt")
+    kept = [F.count("*"), F.min("id"), F.expr("bit_xor(xxhash64(id))"), *[F.max(c) for c in side]]
+    names = ["cnt", "mn", "fp", *[f"any_{c}" for c in side]]
+    shared = seed_rows(reps, sides, level, tuple(hot)).select("seed", "salt", "id", *side, *[a.over(by).alias(c) for a, c in zip(kept, names)])
+    shared = shared.where("salt >= 0 or (cnt > 1 and any_left and any_right)" if sides else "salt >= 0 or cnt > 1")
+    shared = materialize(shared.select("seed", "salt", "id", *side, *names), "seeds")  # read by several plans
+    if hot:
+        rare, often = shared.where("salt < 0").select("seed", "id", "cnt", "mn", "fp"), shared.where("salt >= 0")
+        total = often.groupBy("seed").agg(*[a.alias(c) for a, c in zip(kept, names)]).where("cnt > 1 and any_left and any_right" if sides else "cnt > 1")
+        total = total.select("seed", "cnt", "mn", "fp")
+        shared = rare.unionByName(often.select("seed", "id").join(F.broadcast(total), "seed").select(*rare.columns))  # a row a hot seed
+    else:
+        shared = shared.select("seed", "id", "cnt", "mn", "fp")
     once = shared.where("id = mn").groupBy("cnt", "mn", "fp").agg(F.min("seed").alias("seed")).select("seed")
-    rows = shared.join(once, "seed")
-    few = rows.where(F.col("cnt") <= HEAVY).select("seed", F.lit(0).alias("block"), F.lit(True).alias("own"), "id")
-    kept = rows.where(F.col("cnt") > HEAVY)
-    blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    many = kept.withColumn("b", own).select("seed", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("block"), "b", "id").select("seed", "block", (F.col("block") == F.col("b")).alias("own"), "id")
-    return few.unionByName(many)
+    rows = hot_join(shared, once, "seed", hot)
+    few = rows.where(F.col("cnt") <= HEAVY).select("seed", F.lit(0).cast("long").alias("block"), F.lit(True).alias("own"), "id")
+    kept_rows = rows.where(F.col("cnt") > HEAVY)
+    finer = None
+    if level == COARSE and n > CROWD:  # else no shard can be that large
+        crowd = materialize(kept_rows.where(F.col("cnt") > CROWD).select("id").distinct(), "crowd")
+        size = crowd.count()
+        if size:
+            finer = shards(reps.join(crowd, "id", "left_semi"), size, sides, FINE)
+            kept_rows = kept_rows.where(F.col("cnt") <= CROWD)
+    blocks = F.ceil(F.col("cnt") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("id"), blocks)
+    placed = kept_rows.select("seed", "id", own.alias("b"), (blocks - 1).alias("last")).select("seed", "id", "b", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("k"))
+    stripe = F.expr(f"explode(if(k = b, sequence(b div {STRIPE}, last div {STRIPE}), array(b div {STRIPE})))")
+    many = placed.select("seed", "id", "b", "k", stripe.alias("stripe")).select("seed", (F.shiftleft("k", 24) + F.col("stripe")).alias("block"), (F.col("k") == F.col("b")).alias("own"), "id")
+    out = few.unionByName(many)
+    return out if finer is None else out.unionByName(finer)
 
 
 Compare = Callable[["Shard"], tuple[np.ndarray, np.ndarray]]
@@ -265,12 +313,13 @@ def compare_shards(shard_rows: DataFrame, reps: DataFrame, compare: Callable[[Sh
             yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(key[2] / 1e9)], names=["a", "b", "similarity"])
 
         held: pa.Table | None = None
+        most = CHUNK
         for b in batches:
             held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            while held.num_rows > CHUNK:
+            while held.num_rows > most:
                 seed, block = held["seed"].to_numpy(), held["block"].to_numpy()
                 cut = np.flatnonzero((seed[1:] != seed[:-1]) | (block[1:] != block[:-1])) + 1
-                inside = cut[cut <= CHUNK]
+                inside = cut[cut <= most]
                 if len(inside):
                     yield from work(held.slice(0, inside[-1]))
                     held = held.slice(inside[-1]).combine_chunks()
@@ -278,10 +327,11 @@ def compare_shards(shard_rows: DataFrame, reps: DataFrame, compare: Callable[[Sh
                     own = held["own"].to_numpy(zero_copy_only=False)
                     end = int(cut[0]) if len(cut) else held.num_rows
                     members = int(own[:end].sum())
-                    if members >= CHUNK:
-                        raise ValueError(f"a block of {members} members")
-                    yield from work(held.slice(0, CHUNK))
-                    held = pa.concat_tables([held.slice(0, members), held.slice(CHUNK)]).combine_chunks()
+                    if members >= most:  # more members than expected of a block: they are held all the same
+                        most = members + CHUNK
+                        continue
+                    yield from work(held.slice(0, most))
+                    held = pa.concat_tables([held.slice(0, members), held.slice(most)]).combine_chunks()
                     if members >= held.num_rows:
                         break
         if held is not None and held.num_rows:
@@ -302,6 +352,6 @@ def similar_representatives(windows: DataFrame, compare: Callable, side: str | N
     others = cls.where("row_index <> rep").select("row_index")
     reps = f.join(broadcast_if_small(others), "row_index", "left_anti").withColumnRenamed("row_index", "id")
     if side:
-        lr = members.where(F.col("row_index") != F.col("rep")).groupBy("rep").agg(F.max(F.col(side) == "left").alias("l"), F.max(F.col(side) == "right").alias("r"))
-        reps = reps.join(broadcast_if_small(lr), reps.id == lr.rep, "left").withColumn("left", (F.col(side) == "left") | F.coalesce("l", F.lit(False))).withColumn("right", (F.col(side) == "right") | F.coalesce("r", F.lit(False)))
-    return compare_shards(shards(reps, side is not None), reps, compare, side is not None), members
+        lr = members.where(F.col("row_index") != F.col("rep")).groupBy(F.col("rep").alias("id")).agg(F.max(F.col(side) == "left").alias("l"), F.max(F.col(side) == "right").alias("r"))
+        reps = reps.join(broadcast_if_small(lr), "id", "left").withColumn("left", (F.col(side) == "left") | F.coalesce("l", F.lit(False))).withColumn("right", (F.col(side) == "right") | F.coalesce("r", F.lit(False)))
+    return compare_shards(shards(reps, f.count(), side is not None), reps, compare, side is not None), members

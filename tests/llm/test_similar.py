@@ -83,6 +83,16 @@ def small_limits(monkeypatch):
     monkeypatch.setattr(sketch, "HEAVY", 4)
     monkeypatch.setattr(sketch, "BLOCK", 8)
     monkeypatch.setattr(sketch, "CHUNK", 16)
+    monkeypatch.setattr(sketch, "STRIPE", 2)
+
+
+@pytest.fixture
+def hot_limits(monkeypatch, small_limits):
+    """Hot seeds in salted parts, and finer seeds for crowded shards, at the size of the fixture."""
+    monkeypatch.setattr(sketch, "HOT_WINDOWS", 10)
+    monkeypatch.setattr(sketch, "ONE_IN", 1)
+    monkeypatch.setattr(sketch, "SALTS", 3)
+    monkeypatch.setattr(sketch, "CROWD", 12)
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +110,26 @@ def test_pairs_in_blocks(df, brute_pairs, small_limits):
     assert {tuple(r) for r in neardup.pairs(windows(df)).collect()} == brute_pairs
 
 
+def test_pairs_with_hot_seeds(df, brute_pairs, hot_limits):
+    assert {tuple(r) for r in neardup.pairs(windows(df)).collect()} == brute_pairs
+
+
+def test_repeat_in_a_tenth_of_the_windows(spark, hot_limits, monkeypatch):
+    """A long repeat makes hot seeds; windows with it are crowded, and all similar pairs among them are found all the same."""
+    monkeypatch.setattr(sketch, "CROWD", 40)
+    rng = random.Random(21)
+    repeat = "".join(rng.choice("ACGT") for _ in range(250))
+    texts = ["".join(rng.choice("ACGT") for _ in range(500)) for _ in range(900)]
+    for _ in range(60):
+        s = "".join(rng.choice("ACGT") for _ in range(250))
+        texts += [s + repeat, edit(rng, s, rng.randint(0, 12)) + repeat]
+    sets = [kmers(s) for s in texts]
+    want = {(a, b) for a in range(900, len(sets)) for b in range(a + 1, len(sets)) if similar(sets[a], sets[b])}
+    df = windows(spark.createDataFrame(list(enumerate(texts)), "row_index long, sequence string"))
+    got = {tuple(r) for r in neardup.pairs(df).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 40
+
+
 def test_groups(df, brute_pairs, rows):
     got = {r.row_index: r for r in neardup.groups(windows(df)).collect()}
     degree = {}
@@ -110,10 +140,10 @@ def test_groups(df, brute_pairs, rows):
     assert all(r.group_row_index <= r.class_row_index <= k for k, r in got.items())
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_overlaps(df, rows, small, request):
-    if small:
-        request.getfixturevalue("small_limits")
+@pytest.mark.parametrize("limits", [None, "small_limits", "hot_limits"])
+def test_overlaps(df, rows, limits, request):
+    if limits:
+        request.getfixturevalue(limits)
     name = lambda s: {"train": "t", "training": "t", "validation": "e", "val": "e", "test": "e"}.get((s or "").strip().lower())
     split = {k: name(min((r[2] or "" for r in rows if r[0] == k), key=lambda x: x)) for k in {r[0] for r in rows} - {None}}
     sets = {k: kmers(r[1]) for k, r in first(rows).items()}
@@ -249,5 +279,6 @@ def test_small_sets_share_a_seed():
         if not similar(*map(set, map(np.ndarray.tolist, sets))):
             continue
         sizes = np.array([len(x) for x in sets])
-        r, k = sketch.seeds(np.repeat([0, 1], sizes), np.concatenate(sets), sizes)
-        assert set(k[r == 0]) & set(k[r == 1])
+        for level in (sketch.COARSE, sketch.FINE) if n <= 16 else (sketch.COARSE,):
+            r, k = sketch.seeds(np.repeat([0, 1], sizes), np.concatenate(sets), sizes, level)
+            assert set(k[r == 0]) & set(k[r == 1])
