@@ -7,7 +7,8 @@
 3. A shard's anchors become one automaton, and its records stream through it. Every stretch of LENGTH bases around an
    occurrence is compared with those of the shard's other records: by a hash, then base by base.
 4. Anchors of over HOT records are salted: their stretches that no record of the same salt shares are matched by an
-   aggregation over all salts. Nothing is capped.
+   aggregation over all salts, by their bases and not by a hash. Anchors are counted before they are joined back, and the rows
+   of the hottest stay where they are for that. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.windows import Windows, mix64, slices, to_text
-from helixmill.session import materialize
+from helixmill.session import hot_join, hot_keys, materialize
 
 LENGTH = 150
 K = 32
@@ -110,9 +111,21 @@ def _locate(automaton, ids: np.ndarray, packed: list[bytes], length: int) -> tup
     return w, v, np.flatnonzero(whole & (np.cumsum(near[:-1]) > 0))
 
 
-def _equal_groups(v: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, group) by start; the group of equal stretches. Hashes only bring them together, all bases are compared."""
-    offsets = [*range(0, length - K, K), length - K]
+def _offsets(length: int) -> list[int]:
+    """Where 32-mers start that together hold all bases of a stretch."""
+    return [*range(0, length - K, K), length - K]
+
+
+def _stretch_bytes(v: np.ndarray, starts: np.ndarray, length: int) -> pa.Array:
+    """The bases of each stretch, packed."""
+    raw = np.ascontiguousarray(np.stack([v[starts + o] for o in _offsets(length)], axis=1))
+    width = raw.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.arange(len(starts) + 1) * width).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+
+
+def _equal_groups(v: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The group of equal stretches, by start. Hashes only bring them together, all bases are compared."""
+    offsets = _offsets(length)
     h = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         for i, o in enumerate(offsets):
@@ -130,7 +143,7 @@ def _equal_groups(v: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nd
         same[1:] = np.all([v[s[1:] + o] == v[s[:-1] + o] for o in offsets], axis=0)
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(~same) - 1
-    return h, group
+    return group
 
 
 def _intervals(starts: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +162,9 @@ def shared_spans(windows: DataFrame, length: int = LENGTH) -> DataFrame:
     import ahocorasick  # noqa: F401 - fails here, not in a task
 
     w = materialize(windows.select("row_index", "window"), "windows")
-    a = anchors(w, length).repartition("anchor")
+    a = materialize(anchors(w, length), "anchors")
     stats = a.groupBy("anchor").agg(F.count("*").alias("n"), F.min("row_index").alias("first")).where("n > 1")
-    hits = materialize(a.join(stats, "anchor"), "anchors")
+    hits = materialize(hot_join(a, stats, "anchor", hot_keys(stats, "anchor", a.count())), "hits")
     shards = max(1, -(-hits.count() // HITS))
     salts = F.ceil(F.col("n") / HOT).cast("int")
     placed = hits.select("anchor", "row_index", "n", F.pmod(F.xxhash64("first", F.when(F.col("n") > HOT, F.col("anchor"))), F.lit(shards)).alias("shard"), F.when(F.col("n") > HOT, F.pmod(F.xxhash64("row_index", F.lit(5)), salts)).otherwise(-1).cast("int").alias("salt"), F.when(F.col("n") > HOT, F.col("anchor")).alias("hot"))
@@ -172,7 +185,7 @@ def shared_spans(windows: DataFrame, length: int = LENGTH) -> DataFrame:
             d = t.filter(pa.array(doc))
             ids = d["row_index"].to_numpy()
             w, v, starts = _locate(automaton, ids, d["window"].to_pylist(), length)
-            h, group = _equal_groups(v, starts, length)
+            group = _equal_groups(v, starts, length)
             row = w.row[starts]
             order = np.lexsort((row, group))
             g, r = group[order], row[order]
@@ -182,14 +195,16 @@ def shared_spans(windows: DataFrame, length: int = LENGTH) -> DataFrame:
             np.maximum.at(high, g, r)
             shared = (low < high)[group]
             rr, s, e = _intervals(starts[shared], row[shared], length)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rr]), pa.array((s - w.start[rr]).astype(np.int32)), pa.array((e - w.start[rr]).astype(np.int32)), pa.nulls(len(rr), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rr]), pa.array((s - w.start[rr]).astype(np.int32)), pa.array((e - w.start[rr]).astype(np.int32)), pa.nulls(len(rr), pa.binary())], names=names)
             if t["salt"][0].as_py() >= 0:  # what other salts may share: one row of a shared stretch, and all others
                 _, one = np.unique(group[shared], return_index=True)
                 open_ = np.r_[np.flatnonzero(shared)[one], np.flatnonzero(~shared)]
                 at = starts[open_] - w.start[row[open_]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[open_]]), pa.array(at.astype(np.int32)), pa.array((at + length).astype(np.int32)), pa.array(h[open_].view(np.int64))], names=names)
+                for lo in range(0, len(open_), 100_000):
+                    o, x = open_[lo : lo + 100_000], at[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[o]]), pa.array(x.astype(np.int32)), pa.array((x + length).astype(np.int32)), _stretch_bytes(v, starts[o], length)], names=names)
 
-        names = ["row_index", "start", "stop", "h"]
+        names = ["row_index", "start", "stop", "bases"]
         held: list[pa.RecordBatch] = []
         key = None
         for b in batches:
@@ -204,10 +219,10 @@ def shared_spans(windows: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    found = materialize(both.mapInArrow(run, "row_index long, start int, stop int, h long"), "spans")
-    open_ = found.where("h is not null")
-    across = open_.groupBy("h").agg(F.min("row_index").alias("lo"), F.max("row_index").alias("hi")).where("lo <> hi").select("h")
-    spans = found.where("h is null").unionByName(open_.join(across, "h").select("row_index", "start", "stop", "h")).select("row_index", "start", "stop")
+    found = materialize(both.mapInArrow(run, "row_index long, start int, stop int, bases binary"), "spans")
+    open_ = found.where("bases is not null")  # of one stretch at most a row a salt
+    across = open_.groupBy("bases").agg(F.min("row_index").alias("lo"), F.max("row_index").alias("hi")).where("lo <> hi").select("bases")
+    spans = found.where("bases is null").select("row_index", "start", "stop").unionByName(open_.join(across, "bases").select("row_index", "start", "stop"))
     # overlapping spans of one record become one
     listed = spans.groupBy("row_index").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
     merged = F.expr(
