@@ -89,10 +89,18 @@ def collinear_groups(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("new_", F.coalesce((~fits).cast("int"), F.lit(0))).withColumn("grp", F.sum("new_").over(w)).drop("new_")
 
 
-def candidate_loci(groups: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """One row per locus: coverage and identity with bases counted once, best scores, introns in genomic order, and its rank in the query.
+def junctions(groups: DataFrame) -> DataFrame:
+    """(query_name, chrom, strand, grp, start, stop): the introns between neighbouring blocks of one record, in genomic order."""
+    genomic = Window.partitionBy("query_name", "chrom", "strand", "grp").orderBy("ref_start", "t_start", "ord", "block")
+    j = groups.withColumn("prev", F.lag("ord").over(genomic)).withColumn("start", F.lag("ref_end").over(genomic))
+    return j.where((F.col("prev") == F.col("ord")) & F.col("intron_before").isNotNull()).select("query_name", "chrom", "strand", "grp", "start", F.col("ref_start").alias("stop"))
 
-    lengths (query_name, total_query_bases); without it the longest template of the query's records.
+
+def candidate_loci(groups: DataFrame, lengths: DataFrame | None = None, motifs: DataFrame | None = None) -> DataFrame:
+    """One row per locus: coverage and identity with bases counted once, best scores, blocks and introns in genomic order, and its rank in the query.
+
+    lengths (query_name, total_query_bases); without it the longest template of the query's records. motifs (chrom, start, stop,
+    strand, canonical), one row a junction, says which are canonical: 1 or 0 in canonical_junctions, blank where it has no row.
     """
     locus = ["query_name", "chrom", "strand", "grp"]
     along = Window.partitionBy(*locus).orderBy("t_start", "ord", "block")
@@ -103,6 +111,14 @@ def candidate_loci(groups: DataFrame, lengths: DataFrame | None = None) -> DataF
     g = g.withColumn("part", part)
     genomic = Window.partitionBy(*locus).orderBy("ref_start", "t_start", "ord", "block")
     g = g.withColumn("intron", F.when(F.lag("ord").over(genomic) == F.col("ord"), F.col("intron_before")))
+    if motifs is not None:
+        g = g.withColumn("from_", F.lag("ref_end").over(genomic))
+        known = motifs.select("chrom", "strand", F.col("start").alias("from_"), F.col("stop").alias("ref_start"), "canonical").distinct()
+        g = g.join(known, ["chrom", "strand", "from_", "ref_start"], "left")
+    else:
+        g = g.withColumn("canonical", F.lit(None).cast("boolean"))
+    flag = F.when(F.col("canonical"), "1").when(~F.col("canonical"), "0").otherwise("")
+    listed = lambda c, f: F.array_join(F.transform(F.array_sort(F.collect_list(c)), f), ";")
     g = g.withColumn("first_ord", F.min("ord").over(Window.partitionBy("query_name", "chrom", "strand")))
     g = g.withColumn("longest", F.max("template_length").over(Window.partitionBy("query_name")))
     share = lambda c: F.sum(F.bround(F.col(c) * F.col("part"))).cast("long").alias(c)
@@ -114,7 +130,10 @@ def candidate_loci(groups: DataFrame, lengths: DataFrame | None = None) -> DataF
         F.max("mapq").alias("mapq"),
         F.max("as_score").alias("as_score"),
         F.max("is_primary").alias("is_primary"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("intron").isNotNull(), F.struct("ref_start", F.col("intron").alias("n"))))), lambda x: x["n"].cast("string")), ";").alias("intron_lengths"),
+        listed(F.struct("ref_start", "ref_end"), lambda x: x["ref_start"].cast("string")).alias("block_starts"),
+        listed(F.struct("ref_start", "ref_end"), lambda x: (x["ref_end"] - x["ref_start"]).cast("string")).alias("block_sizes"),
+        listed(F.when(F.col("intron").isNotNull(), F.struct("ref_start", F.col("intron").alias("n"))), lambda x: x["n"].cast("string")).alias("intron_lengths"),
+        listed(F.when(F.col("intron").isNotNull(), F.struct("ref_start", flag.alias("f"))), lambda x: x["f"]).alias("canonical_junctions"),
     )
     if lengths is not None:
         loci = loci.join(lengths.select("query_name", "total_query_bases"), "query_name", "left")

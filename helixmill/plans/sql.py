@@ -50,7 +50,8 @@ loc1 as (select *, least(greatest(0, pe - t_start), t_end - t_start) ov from loc
 loc2 as (select *, case when pe is null or ov = 0 then 1.0::double when t_end = t_start then 0.0::double else (t_end - t_start - ov) / cast(t_end - t_start as double) end part from loc1),
 loc3 as (select query_name, chrom, strand, grp, fo, longest, count(*) n_blocks, min(ref_start) ref_start, max(ref_end) ref_end, cast(sum(round_even(aligned * part, 0)) as bigint) aligned, cast(sum(round_even(matches * part, 0)) as bigint) matches,
  cast(sum(round_even(mismatches * part, 0)) as bigint) mismatches, cast(sum(round_even(insertions * part, 0)) as bigint) insertions, cast(sum(round_even(deletions * part, 0)) as bigint) deletions, max(mapq) mapq, max(as_score) as_score,
- max(is_primary) is_primary, coalesce(string_agg(cast(intron as varchar), ';' order by ref_start, intron) filter (intron is not null), '') intron_lengths from loc2 group by all),
+ max(is_primary) is_primary, coalesce(string_agg(cast(intron as varchar), ';' order by ref_start, intron) filter (intron is not null), '') intron_lengths,
+ string_agg(cast(ref_start as varchar), ';' order by ref_start, ref_end) block_starts, string_agg(cast(ref_end - ref_start as varchar), ';' order by ref_start, ref_end) block_sizes, repeat(';', greatest(0, cast(count(intron) as int) - 1)) canonical_junctions from loc2 group by all),
 loc4 as (select *, case when matches + mismatches + insertions + deletions > 0 then matches / cast(matches + mismatches + insertions + deletions as double) else 0 end identity, case when longest > 0 then aligned / cast(longest as double) else 0 end coverage from loc3),
 loci as (select *, cast(row_number() over (partition by query_name order by is_primary desc, as_score desc nulls last, coverage desc, identity desc, fo, grp) as int) rank from loc4)"""
 

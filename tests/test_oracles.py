@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import DATA
 from tests.oracle import duck, spark_rows, sql_rows
 
-MODULES = ("packed", "align", "screen", "evaluate", "genome")
+MODULES = ("packed", "align", "modes", "screen", "evaluate", "genome")
 CASES = [(m, q) for m in MODULES for q in import_module(f"helixmill.plans.{m}").queries()]
 
 
