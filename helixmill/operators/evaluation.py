@@ -176,21 +176,37 @@ def eligible(p: DataFrame, known: DataFrame, least: int) -> DataFrame:
     return per.groupBy("protein_id").agg(F.min(F.least("a", "b")).alias("m")).where(F.col("m") >= least).select("protein_id")
 
 
-def bootstrap_auroc(s: DataFrame, cluster: str, replicates: int = 200, seed: int = 20260925) -> DataFrame:
-    """(replicate, auc) of the pooled labels: clusters are drawn with Poisson(1) weights from a hash of replicate and cluster."""
-    r = s.select(cluster, "score", "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", cluster), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.lit(0)
-    cdf, term = 0.0, 2.718281828459045**-1
+def _poisson_weight(replicate: Column | str, cluster: Column | str, seed: int) -> Column:
+    """How often a cluster is drawn in a replicate: Poisson with mean 1, from a hash."""
+    u = F.pmod(F.xxhash64(F.lit(seed), replicate, cluster), F.lit(1 << 30)) / float(1 << 30)
+    weight, cdf, term = F.lit(0), 0.0, 2.718281828459045**-1
     for k in range(8):
         cdf += term
         weight = weight + F.when(u >= cdf, 1).otherwise(0)
         term /= k + 1
-    g = r.withColumn("w", weight).groupBy("replicate", "score").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
-    w = Window.partitionBy("replicate").orderBy("score")
+    return weight
+
+
+def bootstrap_auroc(s: DataFrame, cluster: str, replicates: int = 2000, seed: int = 20260925, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, replicate, auc) of the pooled labels: clusters are drawn with Poisson(1) weights from a hash of replicate and cluster.
+
+    Rows are counted by cluster and score first; clusters that a replicate doesn't draw send nothing on.
+    """
+    r = s.groupBy(*keys, cluster, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", _poisson_weight("replicate", cluster, seed)).where("w > 0")
+    g = r.groupBy(*keys, "replicate", "score").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    w = Window.partitionBy(*keys, "replicate").orderBy("score")
     g = g.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
-    x = g.groupBy("replicate").agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
-    return x.select("replicate", auc_from_ranks(F.col("r"), F.col("p"), F.col("q")).alias("auc"))
+    x = g.groupBy(*keys, "replicate").agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    return x.select(*keys, "replicate", auc_from_ranks(F.col("r"), F.col("p"), F.col("q")).alias("auc"))
+
+
+def paired_differences(s: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260925) -> DataFrame:
+    """(one, other, n, mean, lower, upper): of each two values of `by` (one < other, a handful of configurations) the difference of
+    their areas over the same draws of clusters: mean and the 2.5 and 97.5 percent points over the replicates in which both are defined."""
+    a = bootstrap_auroc(s, cluster, replicates, seed, (by,)).where("auc is not null")
+    x = a.select(F.col(by).alias("one"), "replicate", F.col("auc").alias("a")).join(a.select(F.col(by).alias("other"), "replicate", F.col("auc").alias("b")), "replicate").where("one < other").withColumn("d", F.col("a") - F.col("b"))
+    return x.groupBy("one", "other").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lower"), F.percentile("d", F.lit(0.975)).alias("upper"))
 
 
 def find_positive(known: DataFrame, protein_id: int, n: int = 20) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.hashing import hash_rank
 from helixmill.functions.sequence import gc_decile, reverse_complement
 from helixmill.operators.components import components
 from helixmill.session import broadcast_if_small
 
 SHARES = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 SEED = 20260925
-_BUCKETS = 4096
 
 
 def duplicate_groups(windows: DataFrame) -> DataFrame:
@@ -35,9 +35,12 @@ def group_components(windows: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def component_ids(members: DataFrame) -> DataFrame:
-    """(component, n, component_id): the id is a hash of the sorted sample ids. A component's ids must fit into one row."""
+    """(component, n, component_id): the id is a hash of the sorted sample ids, in two levels: the ids that share the first two
+    digits of their own hash make one hash, and these hashes in order the component's. So no row holds a large component's ids."""
     sid = F.concat(F.lit("row_"), F.col("row_index").cast("string"))
-    return members.groupBy("component").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(sid)), ","), 256).alias("component_id"))
+    digest = lambda c, sep: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), sep), 256)
+    part = members.select("component", sid.alias("sid")).withColumn("part", F.substring(F.sha2("sid", 256), 1, 2)).groupBy("component", "part").agg(F.count("*").alias("k"), digest(F.col("sid"), ",").alias("d"))
+    return part.groupBy("component").agg(F.sum("k").alias("n"), digest(F.concat("part", F.lit(":"), "d"), ",").alias("component_id"))
 
 
 def component_gate(members: DataFrame) -> DataFrame:
@@ -54,10 +57,10 @@ def assign(members: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, s
 
     The running count has two levels, buckets of hashes and the components of a bucket, so no task sees them all.
     """
-    h = F.xxhash64(F.lit(seed), "component")
-    size = members.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned(F.col("h"), 52))
+    h = hash_rank(seed, F.col("component"))
+    size = members.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3))
     per = size.groupBy("bucket").agg(F.sum("n").alias("m"))
-    w = Window.orderBy("bucket")  # at most _BUCKETS rows
+    w = Window.orderBy("bucket")  # at most 4,096 rows
     starts = per.withColumn("start", F.sum("m").over(w) - F.col("m")).withColumn("total", F.sum("m").over(Window.partitionBy())).select("bucket", "start", "total")
     inside = Window.partitionBy("bucket").orderBy("h", "component")
     x = size.join(F.broadcast(starts), "bucket").withColumn("at", F.col("start") + F.sum("n").over(inside) - F.col("n") / 2)

@@ -13,9 +13,12 @@ from helixmill.functions.hashing import hash_rank
 from helixmill.functions.names import contig_category, na_to_null, selected_accession
 from helixmill.functions.sequence import base_classes, reverse_complement
 from helixmill.functions.windows import mix64
+from helixmill.session import materialize
 
 SKIP_MODULUS = 1_000_000
 SEED_LENGTH = 32
+#: Bases of a contig that are hashed at a time.
+PIECE = 1 << 20
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -92,54 +95,72 @@ def probe_windows(contigs: DataFrame, length: int = 500, modulus: int = SKIP_MOD
     return x.groupBy("id").agg(F.coalesce(F.max(hit), F.min("start")).alias("start")).select("id", "start", (F.col("start") + length).alias("stop"))
 
 
+def _seed_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of the SEED_LENGTH letters from each place on."""
+    if len(codes) < SEED_LENGTH:
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        v, step = codes.astype(np.uint64) + np.uint64(1), 1
+        while step < SEED_LENGTH:
+            v = mix64(v[:-step] * np.uint64(3) + v[step:] * np.uint64(5), step)
+            step *= 2
+    return v.view(np.int64)
+
+
 def exact_search(patterns: DataFrame, contigs: DataFrame) -> DataFrame:
     """(name, chrom, start, stop, strand): every place of patterns (name, seq) in contigs (id, seq), either strand, any case; a palindrome counts on both.
 
     Patterns of under SEED_LENGTH bases are refused. The first SEED_LENGTH bases of each pattern and of its reverse complement
-    are hashed. Up to BROADCAST_SEEDS distinct hashes go to all tasks as a sorted array, and contigs send on only the places
-    whose hash is there; with more, all places go into the join. Then follow an equi-join on the hash and a comparison of texts.
+    are hashed, and the distinct hashes go to all tasks as a sorted array, at most BROADCAST_SEEDS at a time; with more of them
+    contigs are read once for each part. Contigs go by in pieces and send on only the places whose hash is there, with the bases
+    that follow, as many as the longest pattern has; so no contig is shuffled or joined. Null contigs hold nothing.
     """
     p = patterns.select("name", F.upper("seq").alias("p"))
     p = p.select("name", F.when(F.length("p") >= SEED_LENGTH, F.col("p")).otherwise(F.raise_error(F.lit(f"a pattern of under {SEED_LENGTH} bases"))).alias("p"))
     both = p.select("name", "p", F.lit("+").alias("strand")).unionByName(p.select("name", reverse_complement("p").alias("p"), F.lit("-").alias("strand")))
     c = contigs.select(F.col("id").cast("string").alias("chrom"), F.upper("seq").alias("s"))
 
-    def hashes(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(max(0, len(codes) - SEED_LENGTH + 1), np.uint64)
-        with np.errstate(over="ignore"):
-            v, step = codes.astype(np.uint64) + np.uint64(1), 1
-            while step < SEED_LENGTH:
-                v = mix64(v[:-step] * np.uint64(3) + v[step:] * np.uint64(5), step)
-                step *= 2
-            h[: len(v)] = v
-        return h
-
     def run_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [int(hashes(np.frombuffer(t[:SEED_LENGTH].encode(), np.uint8))[0].view(np.int64)) for t in b.column("p").to_pylist()]
+            h = [int(_seed_hashes(np.frombuffer(t[:SEED_LENGTH].encode("ascii", "replace"), np.uint8))[0]) for t in b.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("name"), b.column("p"), b.column("strand"), pa.array(h, pa.int64())], names=["name", "p", "strand", "h"])
 
-    seeds = both.mapInArrow(run_patterns, "name string, p string, strand string, h long")
-    distinct = seeds.select("h").distinct().limit(BROADCAST_SEEDS + 1).toArrow()["h"].to_numpy()  # at most 8 MB
-    wanted = patterns.sparkSession.sparkContext.broadcast(np.sort(distinct)) if len(distinct) <= BROADCAST_SEEDS else None
+    seeds = materialize(both.mapInArrow(run_patterns, "name string, p string, strand string, h long"), "patterns")
+    keys = materialize(seeds.groupBy("h").agg(F.max(F.length("p")).alias("longest")), "seeds")
+    n, longest = keys.agg(F.count("*"), F.coalesce(F.max("longest"), F.lit(0))).first()
+    parts = max(1, -(-n // BROADCAST_SEEDS))
+    spark = patterns.sparkSession
+    places = None
+    for part in range(parts):
+        own = np.sort(keys.where(F.pmod("h", F.lit(parts)) == part).select("h").toArrow()["h"].to_numpy())  # some 8 MB
+        found = _places(c, spark.sparkContext.broadcast(own), int(longest))
+        places = found if places is None else places.unionByName(found)
+    hit = places.join(seeds, "h").where(F.col("tail").startswith(F.col("p")))
+    return hit.select("name", "chrom", "start", (F.col("start") + F.length("p")).alias("stop"), "strand").distinct()
 
-    def run_contigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, s in zip(b.column("chrom").to_pylist(), b.column("s").to_pylist()):
-                if s is None or len(s) < SEED_LENGTH:
+
+def _places(contigs: DataFrame, wanted, longest: int) -> DataFrame:
+    """(chrom, start, h, tail): the places of contigs (chrom, s) whose hash is wanted, with the bases from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = wanted.value
+        for b in batches if len(w) else ():
+            text = b.column("s")
+            for name, s in zip(b.column("chrom").to_pylist(), text):
+                if not s.is_valid:
                     continue
-                codes = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
-                h = hashes(codes).view(np.int64)
-                at = np.arange(len(h))
-                if wanted is not None:
-                    w = wanted.value
-                    at = at[w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h] if len(w) else at[:0]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(h[at])], names=["chrom", "start", "h"])
-
-    places = c.mapInArrow(run_contigs, "chrom string, start long, h long")
-    # contigs come back for the comparison
-    hit = places.join(seeds, "h").join(c, "chrom").where(F.substr(F.col("s"), (F.col("start") + 1).cast("int"), F.length("p")) == F.col("p"))
-    return hit.select("name", "chrom", "start", (F.col("start") + F.length("p")).alias("stop"), "strand").distinct()
+                raw = np.frombuffer(s.as_buffer(), np.uint8)
+                if (raw > 127).any():  # places are letters, not bytes
+                    raw = np.frombuffer(s.as_py().encode("ascii", "replace"), np.uint8)
+                for lo in range(0, len(raw), PIECE):
+                    h = _seed_hashes(raw[lo : lo + PIECE + SEED_LENGTH - 1])
+                    at = np.flatnonzero(w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h)
+                    for k in range(0, len(at), 2048):
+                        some = at[k : k + 2048]
+                        tails = [raw[lo + i : lo + i + longest].tobytes().decode("utf-8", "replace") for i in some.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some + lo), pa.array(h[some]), pa.array(tails, pa.string())], names=["chrom", "start", "h", "tail"])
+
+    return contigs.mapInArrow(run, "chrom string, start long, h long, tail string")
 
 
 def bed_problems(lines: DataFrame, contig: str, contig_length: int, known: DataFrame) -> DataFrame:

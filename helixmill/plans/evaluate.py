@@ -155,7 +155,12 @@ def eligible_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_auroc(spark: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap_auroc(scored(spark, d), "sample_id", 200)
+    return E.bootstrap_auroc(scored(spark, d), "sample_id")
+
+
+def paired_differences(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "predictions").where(F.col("score").between(0, 1)).groupBy("config_id", "sample_id", "protein_id").agg(F.round(F.avg("score"), 6).alias("score"))
+    return E.paired_differences(p.where("config_id is not null").join(known(spark, d), ["sample_id", "protein_id"]), "config_id", "sample_id")
 
 
 def _positives(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +203,7 @@ def label_clusters(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [prediction_problems, predictions_once, auroc_by_label, average_precision_by_label, micro_average_precision, best_thresholds, grid_thresholds, confusion_by_label, confusion_at_half, binding_rates, calibration_curve]
     own += [score_histogram, average_outputs, brier_log_loss, masked_loss, top_bindings, threshold_or_known, metric_summary, auc_lines, best_and_worst_labels, evenly_spaced_labels, first_positives, first_multi_positives, auroc_by_fold, eligible_labels]
-    own += [bootstrap_auroc, label_cooccurrence, conditional_binding, top_cobinders, asymmetric_pairs, profile_cosine, heaviest_labels, label_clusters]
+    own += [bootstrap_auroc, paired_differences, label_cooccurrence, conditional_binding, top_cobinders, asymmetric_pairs, profile_cosine, heaviest_labels, label_clusters]
     return {f.__name__: f for f in own}
 
 

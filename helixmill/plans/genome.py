@@ -148,9 +148,10 @@ def partition_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_partition_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Ties of equal windows across partitions: none."""
-    e = P.duplicate_groups(_windows(spark, d)).select(F.col("row_index").alias("a"), F.col("group_row_index").alias("b"))
-    return P.crossing(P.assign(_members(spark, d)), e)
+    """Ties across partitions: none of equal windows; of the ties planted between each record and the next all whose ends lie apart."""
+    w = _windows(spark, d)
+    e = P.duplicate_groups(w).select(F.col("row_index").alias("a"), F.col("group_row_index").alias("b"))
+    return P.crossing(P.assign(_members(spark, d)), e.unionByName(w.select(F.col("row_index").alias("a"), (F.col("row_index") + 1).alias("b"))))
 
 
 def matched_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -229,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
     win = sql.WIN
     m = f"with {_COMP} "
     sid = "'row_' || row_index"
+    cut = f"case when mid < total * cast({0.70!r} as double) then 'train' when mid < total * cast({0.70 + 0.15!r} as double) then 'validation' else 'test' end"
+    asg = f", so as (select component, count(*) n, substr(sha256('20260925' || chr(31) || component), 1, 16) h from mem group by 1), oo as (select component, sum(n) over (order by h, component) - n / 2.0::double mid, cast(sum(n) over () as double) total from so), asg as (select mem.row_index, mem.component, {cut} split_name from mem join oo using (component))"
     return {
         "contig_policy": f"with {POL} select * from pol",
         "contig_exclusions": f"with {POL} select * from pol where reason is not null order by category nulls first, sequence_name, accession",
@@ -245,9 +248,12 @@ def oracle_sql() -> dict[str, str]:
         "bed_problems": f"with {sql.ALN}, l as (select distinct chrom, pos0 s, pos0 + 500 e, query_name, coalesce(cast(as_score as varchar), '.') sc, strand from ar), kn as (select distinct query_name from ar where strand = '+'), n as (select *, row_number() over (partition by query_name, s, e, strand) nth from l where chrom = 'chr1'), pr as (select unnest([case when query_name not in (select query_name from kn) then 'unknown_pattern' end, case when not (s >= 0 and s < e and e <= 100000000) then 'bounds' end, case when sc = '.' then 'score_not_whole' end, case when sc <> '.' and cast(nullif(sc, '.') as int) < 0 then 'score_negative' end, case when nth > 1 then 'repeated' end]) problem from n union all select 'contig' from l where chrom <> 'chr1') select problem, count(*) n from pr where problem is not null group by 1",
         "duplicate_groups": f"with {win}, k as (select row_index, least(seq, {_RC.format('seq')}) k from win where seq <> ''), g as (select k, min(row_index) group_row_index, count(*) n from k group by 1 having count(*) > 1) select row_index, group_row_index, n from k join g using (k)",
         "group_components": m + "select row_index, component from mem",
-        "component_ids": m + f"select component, count(*) n, sha256(string_agg({sid}, ',' order by {sid})) component_id from mem group by 1",
+        "component_ids": m + f", pt as (select component, substr(sha256({sid}), 1, 2) part, count(*) k, sha256(string_agg({sid}, ',' order by {sid})) d from mem group by 1, 2) select component, cast(sum(k) as bigint) n, sha256(string_agg(part || ':' || d, ',' order by part || ':' || d)) component_id from pt group by 1",
+        "partition_assignment": m + asg + " select row_index, component, split_name from asg",
+        "fold_sizes": m + asg.replace(cut, "cast(floor(least(4, mid / total * 5)) as int)").replace("split_name", "fold") + " select fold, count(*) n, count(distinct component) n_components from asg group by 1",
+        "partition_balance": m + asg + f", o as (with {sql.OBS} select * from obs), b as (select split_name, protein_id, y, count(*) n from asg join o using (row_index) group by 1, 2, 3), c as (select *, n / cast(sum(n) over (partition by protein_id, y) as double) share from b) select split_name, protein_id, y, n, share, abs(share - case split_name when 'train' then 0.70::double else 0.15::double end) > 0.03::double off_share, split_name <> 'train' and n < 30 below_minimum from c",
         "component_gate": m + ", s as (select component, count(*) n from mem group by 1), t as (select n from s order by n desc, component limit 20) select (select count(*) from mem) n_records, (select max(n) from t) / cast((select count(*) from mem) as double) largest_share, (select sum(n) from t) / cast((select count(*) from mem) as double) top20_share, (select max(n) from t) <= 0.05 * (select count(*) from mem) and (select sum(n) from t) <= 0.20 * (select count(*) from mem) passed",
-        "cross_partition_audit": "select cast(0 as bigint) a, cast(0 as bigint) b, '' split_a, '' split_b where false",
+        "cross_partition_audit": m + asg + " select x.row_index a, y.row_index b, x.split_name split_a, y.split_name split_b from asg x join asg y on y.row_index = x.row_index + 1 where x.split_name <> y.split_name",
         "matched_negatives": f"with {win}, {sql.OBS[len(sql.REC) + 2:]}, x as (select row_index, protein_id, y, cast(least(9, floor(case when length(seq) = 0 then 0.0::double else length(regexp_replace(seq, '[^GC]', '', 'g')) / cast(length(seq) as double) end * 10)) as int) gc_decile from win join obs using (row_index)), r as (select *, row_number() over (partition by protein_id, gc_decile, y order by sha256('20260925:' || row_index), row_index) r from x) select a.protein_id, a.gc_decile, a.row_index positive, b.row_index negative from r a join r b on a.protein_id = b.protein_id and a.gc_decile = b.gc_decile and a.r = b.r and a.y = 1 and b.y = 0",
         "listing_paths": "with e as (select event_id % 6 k, event_type t from events) select case k when 0 then t when 3 then 'a/' || t when 5 then 'c/' || t end path, case k when 1 then 'absolute' when 2 then 'parent' when 4 then 'backslash' end problem, count(*) n from e group by 1, 2",
         "sam_round_trip": "select query_name, flag, chrom, pos1, mapq, cigar, nm, as_score from alignment_records where (flag & 4) = 0 and chrom <> '*' and cigar <> '*'",

@@ -47,8 +47,8 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
         base += r.n
     if not start:
         return df.select(F.lit(0).cast("long").alias("row_index"), F.lit("").alias("sample_id"), "sequence", "labels").limit(0)
-    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])[part]
-    x = with_id.withColumn("row_index", offset + F.col("m").bitwiseAND((1 << 33) - 1))
+    offsets = F.broadcast(spark.createDataFrame(list(start.items()), "part_ long, offset_ long"))  # a row a split
+    x = with_id.join(offsets, part == F.col("part_")).withColumn("row_index", F.col("offset_") + F.col("m").bitwiseAND((1 << 33) - 1))
     return x.select("row_index", F.concat(F.lit("row_"), F.col("row_index").cast("string")).alias("sample_id"), F.coalesce("sequence", F.lit("")).alias("sequence"), F.coalesce("labels", F.lit("")).alias("labels"))
 
 
@@ -70,13 +70,13 @@ def chunked(contigs: DataFrame, size: int = CHUNK, name: str = "id", seq: str =
 
 def fetch(chunks: DataFrame, wanted: DataFrame, size: int = CHUNK, name: str = "id") -> DataFrame:
     """wanted (name, start, stop, ...) with `bases`: the half-open span of each; '' where the name is unknown or the span is out of bounds."""
-    w = wanted.withColumn("w_", F.monotonically_increasing_id())
+    w = wanted
     ends = chunks.groupBy(name).agg(F.max(F.struct("chunk", F.length("seq").alias("n"))).alias("m")).select(name, (F.col("m.chunk") * size + F.col("m.n")).alias("total_"))
-    need = w.where((F.col("start") >= 0) & (F.col("stop") > F.col("start"))).select(name, "w_", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("stop") - 1) / size).cast("int"))).alias("chunk"))
-    got = need.join(chunks, [name, "chunk"]).groupBy("w_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("s_"), F.min("chunk").alias("c_"))
-    x = w.join(got, "w_", "left").join(ends, name, "left")
+    need = w.where((F.col("start") >= 0) & (F.col("stop") > F.col("start"))).select(name, "start", "stop").distinct().select(name, "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("stop") - 1) / size).cast("int"))).alias("chunk"))
+    got = need.join(chunks, [name, "chunk"]).groupBy(name, "start", "stop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("s_"), F.min("chunk").alias("c_"))
+    x = w.join(got, [name, "start", "stop"], "left").join(ends, name, "left")
     ok = F.col("s_").isNotNull() & (F.col("stop") <= F.col("total_"))
-    return x.withColumn("bases", F.when(ok, F.substr(F.col("s_"), (F.col("start") - F.col("c_") * size + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))).otherwise("")).drop("w_", "s_", "c_", "total_")
+    return x.withColumn("bases", F.when(ok, F.substr(F.col("s_"), (F.col("start") - F.col("c_") * size + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))).otherwise("")).drop("s_", "c_", "total_").select(*wanted.columns, "bases")
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +102,7 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 def assembly_report(spark: SparkSession, path: str) -> DataFrame:
     """(sequence_name, role, molecule, genbank, refseq, unit, length); columns by the last comment line that names Sequence-Name."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("v")).where(F.col("v") != "")
-    heads = [r.v for r in lines.where(F.col("v").startswith("#") & F.col("v").contains("Sequence-Name")).limit(100).collect()]
+    heads = [r.v for r in lines.where(F.col("v").startswith("#") & F.col("v").contains("Sequence-Name")).withColumn("o", F.monotonically_increasing_id()).orderBy(F.desc("o")).limit(1).collect()]
     columns = heads[-1].lstrip("#").strip().split("\t") if heads else list(ASSEMBLY)
     f = F.split("v", "\t")
     at = lambda c: F.coalesce(F.try_element_at(f, F.lit(columns.index(c) + 1)), F.lit("")) if c in columns else F.lit("")
@@ -167,6 +167,32 @@ def checksum_listing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return per.where("n = 1").select("path", "md5"), problems
 
 
+def lenient_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(name, md5) of lines `md5 path` by the last part of the path, in any case, with an optional * before the path; lines of another
+    form say nothing. Of a name that occurs more than once the last line holds."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r$", "")).alias("v"), F.monotonically_increasing_id().alias("o"))
+    pattern = r"^([0-9a-fA-F]{32})\s+\*?(\S.*)$"
+    x = lines.select("o", F.lower(F.regexp_extract("v", pattern, 1)).alias("md5"), F.regexp_extract("v", pattern, 2).alias("p")).where("md5 <> ''")
+    return x.groupBy(F.regexp_extract("p", r"([^/]*)/*$", 1).alias("name")).agg(F.max_by("md5", "o").alias("md5"))
+
+
+def concatenated_reads(biological: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reads, problems) of two tables (id, seq) put together: reads (id, seq, is_control); problems (id, n) of ids that occur more than once."""
+    both = biological.select("id", "seq", F.lit(False).alias("is_control")).unionByName(control.select("id", "seq", F.lit(True).alias("is_control")))
+    return both, both.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+
+
+def selected_contigs(contigs: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, problems) of contigs (id, seq, ...) against the accessions that a policy keeps (accession, reason, length; reason null:
+    kept). problems (accession, problem): `missing`, `repeated` or `length`, where a length is known. Only names and lengths are joined."""
+    want = policy.where("reason is null and accession is not null").select("accession", "length").distinct()
+    there = contigs.select(F.col("id").alias("accession"), F.length("seq").alias("found")).join(want.select("accession"), "accession", "left_semi")
+    per = want.join(there.groupBy("accession").agg(F.count("*").alias("n"), F.max("found").alias("found")), "accession", "left")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when((F.col("length") > 0) & (F.col("length") != F.col("found")), "length")
+    kept = contigs.join(want.select(F.col("accession").alias("id")), "id", "left_semi")
+    return kept, per.select("accession", problem.alias("problem")).where("problem is not null")
+
+
 def path_list(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the lines that are neither blank nor comments."""
     return spark.read.text(path).select(F.trim("value").alias("path")).where((F.col("path") != "") & ~F.col("path").startswith("#"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,30 @@ def write_fasta(df: DataFrame, path: str, name: str = "id", seq: str = "seq") ->
     df.select(F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
 
 
+def write_derived_fasta(contigs: DataFrame, policy: DataFrame, path: str) -> dict:
+    """The contigs that a policy keeps as FASTA, and its manifest: their number, bases by class and a digest that doesn't depend on
+    the order. Written beside and renamed into place only if every kept accession is there once and whole; else ValueError."""
+    from helixmill.functions.sequence import base_classes
+    from helixmill.sources.readers import selected_contigs
+
+    spark = contigs.sparkSession
+    kept, problems = selected_contigs(contigs, policy)
+    bad = problems.orderBy("accession").limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.accession}: {r.problem}" for r in bad))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        raise ValueError(f"{path} is there")
+    write_fasta(kept, beside.toString())
+    classes = base_classes("seq")
+    row = kept.agg(F.count("*").alias("contigs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in classes.items()], F.expr("bit_xor(xxhash64(id, sha2(seq, 256)))").alias("digest")).first()
+    if not fs.rename(beside, target):
+        raise OSError(f"{path} was not written")
+    return row.asDict()
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True, compress: bool = False) -> None:
     """Columns as text; arrays joined by semicolons, null as blank."""
     cols = [F.concat_ws(";", c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]

@@ -165,3 +165,44 @@ def test_stream(spark, tmp_path):
     q = stream_class_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), {}).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.label_value, r.n_records) for r in spark.table("counts").collect()} == {(5, 2), (-7, 1)}
+
+
+def test_derived_reference(spark, tmp_path):
+    from helixmill.sources import readers, sinks
+
+    contigs = spark.createDataFrame([("GB1", "ACGTacgtNN"), ("GB2", "AAAA"), ("GB9", "CC")], "id string, seq string")
+    policy = spark.createDataFrame([("GB1", None, 10), ("GB2", None, 4), ("GB3", "outside_policy", 5)], "accession string, reason string, length long")
+    m = sinks.write_derived_fasta(contigs, policy, str(tmp_path / "ref"))
+    assert (m["contigs"], m["bases"], m["upper"], m["lower"]) == (2, 14, 8, 4)
+    assert sorted((r.id, r.seq) for r in readers.fasta(spark, str(tmp_path / "ref")).collect()) == [("GB1", "ACGTacgtNN"), ("GB2", "AAAA")]
+    more = policy.unionByName(spark.createDataFrame([("GB9", None, 7), ("GB7", None, 1)], policy.schema))
+    _, problems = readers.selected_contigs(contigs.unionByName(contigs.where("id = 'GB1'")), more)
+    assert sorted(tuple(r) for r in problems.collect()) == [("GB1", "repeated"), ("GB7", "missing"), ("GB9", "length")]
+    with pytest.raises(ValueError):
+        sinks.write_derived_fasta(contigs, more, str(tmp_path / "ref2"))
+    assert not (tmp_path / "ref2").exists()
+
+
+def test_lenient_checksums_and_reads(spark, tmp_path):
+    from helixmill.sources import readers
+
+    a, b = "0" * 31 + "A", "f" * 32
+    (tmp_path / "sums").write_text(f"{a}  ./x/one.fa\r\n{b} *one.fa\nnonsense\n{b}  two.fa\n")
+    assert sorted(tuple(r) for r in readers.lenient_checksums(spark, str(tmp_path / "sums")).collect()) == [("one.fa", b), ("two.fa", b)]
+    x = spark.createDataFrame([("a", "AC"), ("b", "G")], "id string, seq string")
+    reads, problems = readers.concatenated_reads(x, spark.createDataFrame([("b", "T")], x.schema))
+    assert reads.count() == 3 and [tuple(r) for r in problems.collect()] == [("b", 2)]
+
+
+def test_compare_and_set(spark, tmp_path):
+    from helixmill.operators.runs import Registry, StaleError
+
+    r = Registry(spark, str(tmp_path))
+    for i in range(3):
+        assert r.run("s", f"k{i}", lambda: spark.range(i + 1)).count() == i + 1
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("gen=")]) == 2  # the last one and the one before
+    with pytest.raises(StaleError):
+        r.replace({"a": 1}, {"generation": "another"}, "s", "pointer.json")
+    (tmp_path / "s" / ".pointer.json.lock").write_text("")
+    with pytest.raises(StaleError):
+        r.replace({"a": 1}, r.current("s"), "s", "pointer.json")
