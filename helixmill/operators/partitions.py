@@ -5,13 +5,17 @@ Groups of similar windows, and a placement that balances classes, are in the nea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.hashing import hash_rank
-from helixmill.functions.sequence import gc_decile, reverse_complement
+from helixmill.functions.sequence import gc_decile, gc_fraction, reverse_complement
 from helixmill.operators.components import components
-from helixmill.session import broadcast_if_small
+from helixmill.session import broadcast_if_small, materialize
 
 SHARES = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 SEED = 20260925
@@ -106,19 +110,51 @@ def matched_negatives(windows: DataFrame, observations: DataFrame, seed: int = S
     return a.join(b, ["protein_id", "gc_decile", "r"]).select("protein_id", "gc_decile", "positive", "negative")
 
 
-def kmer_baseline(windows: DataFrame, observations: DataFrame, assigned: DataFrame, protein_id: int, k: int = 3, regularization: float = 0.01) -> DataFrame:
-    """(sample, y, score, split_name) of a logistic regression on k-mer shares, fitted on train; k = 1 with GC alone is the GC baseline."""
-    from itertools import product
-
+BASELINES = ("random", "gc", "3-mer", "6-mer")
+
+
+def baseline_features(windows: DataFrame, kind: str) -> DataFrame:
+    """(row_index, features) of windows (row_index, seq): a hash (random), the share of G and C (gc), or the shares of all k-mers of
+    readable bases (k-mer). Empty windows have zeros."""
+    from pyspark.ml.functions import array_to_vector
+
+    if kind == "random":
+        u = F.pmod(F.xxhash64(F.lit(SEED), "row_index"), F.lit(1 << 30)) / float(1 << 30)
+        return windows.select("row_index", array_to_vector(F.array(u)).alias("features"))
+    if kind == "gc":
+        return windows.select("row_index", array_to_vector(F.array(gc_fraction("seq").cast("double"))).alias("features"))
+    k = int(kind.split("-")[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.full(256, 4, np.uint8)
+        code[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                out = np.zeros((b.num_rows, 4**k))
+                for i, s in enumerate(b.column("seq").to_pylist()):
+                    c = code[np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8)]
+                    if len(c) < k:
+                        continue
+                    v, ok = np.zeros(len(c) - k + 1, np.int64), np.ones(len(c) - k + 1, bool)
+                    for j in range(k):
+                        part = c[j : len(c) - k + 1 + j]
+                        v, ok = (v << 2) | (part & 3), ok & (part < 4)
+                    if ok.any():
+                        out[i] = np.bincount(v[ok], minlength=4**k) / ok.sum()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * 4**k), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("row_index"), lists], names=["row_index", "features"])
+
+    return windows.select("row_index", "seq").mapInArrow(run, "row_index long, features array<double>").select("row_index", array_to_vector("features").alias("features"))
+
+
+def baseline(windows: DataFrame, observations: DataFrame, assigned: DataFrame, protein_id: int, kind: str = "3-mer", regularization: float = 0.01) -> DataFrame:
+    """(row_index, y, score, split_name) of one protein's known records by a logistic regression on baseline_features, fitted on train."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    words = ["".join(x) for x in product("ACGT", repeat=k)]
-    x = windows.join(observations.where(F.col("protein_id") == protein_id), "row_index").join(assigned.select("row_index", "split_name"), "row_index")
-    n = F.greatest(F.length("seq") - k + 1, F.lit(1))
-    feats = [(F.regexp_count("seq", F.lit(f"(?={w})")) / n).alias(f"k_{w}") for w in words]
-    x = x.select("row_index", F.col("y").cast("double").alias("label"), "split_name", *feats)
-    v = VectorAssembler(inputCols=[f"k_{w}" for w in words], outputCol="features").transform(x).select("row_index", "label", "split_name", "features")
+    own = observations.where(F.col("protein_id") == protein_id).select("row_index", F.col("y").cast("double").alias("label"))
+    x = baseline_features(windows.join(own.select("row_index"), "row_index", "left_semi"), kind)
+    v = materialize(x.join(own, "row_index").join(assigned.select("row_index", "split_name"), "row_index"), "features")
     model = LogisticRegression(maxIter=50, regParam=regularization).fit(v.where("split_name = 'train'"))
     return model.transform(v).select("row_index", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"), "split_name")

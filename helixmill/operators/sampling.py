@@ -1,8 +1,7 @@
 """Deterministic stratified sample: hash-ranked representatives, quotas per protein and class, filler.
 
 Ranks are hashes, so the result depends on no input order. Quotas depend on one another pick by pick, so their loop runs on the
-driver, over at most `quota * 2 * proteins` candidates of each protein and class: more can't be looked at, as each pick of another
-class takes one at most.
+driver, over as many candidates of each protein and class as it and the classes before it may still pick: more can't be looked at.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.hashing import label_blind_rank, quota_rank
+from helixmill.session import materialize
 
 REPRESENTATIVE, QUOTA, FILLER = "representative", "quota", "filler"
 
@@ -45,10 +45,17 @@ def build_sample(ids: DataFrame, observations: DataFrame, total: int, representa
     Raises QuotaError too if strata exceed `total` or too few records are there (strict), else returns what there is.
     """
     spark = ids.sparkSession
-    rep = representatives(ids, representative, seed).cache()
+    rep = materialize(representatives(ids, representative, seed), "representatives")
     counts = {(r.protein_id, r.y): r.n for r in observations.join(rep.select("row_index"), "row_index").groupBy("protein_id", "y").agg(F.count("*").alias("n")).collect()}
-    most = max(min_positive, min_negative) * 2 * proteins
-    cand = quota_candidates(observations, rep, seed, most)
+    # a class looks past as many of its candidates as the classes before it may have picked
+    limits, picks = [], 0
+    for protein in range(1, proteins + 1):
+        for y, least in ((1, min_positive), (0, min_negative)):
+            if (want := least - counts.get((protein, y), 0)) > 0:
+                picks += want
+                limits.append((protein, y, picks))
+    most = F.broadcast(spark.createDataFrame(limits, "protein_id int, y int, most int"))
+    cand = materialize(quota_candidates(observations, rep, seed, picks).join(most, ["protein_id", "y"]).where(F.col("rank") <= F.col("most")), "candidates")
     labels = cand.select("sample_id").distinct().join(observations.withColumn("sample_id", F.concat(F.lit("row_"), F.col("row_index").cast("string"))), "sample_id")
     by: dict[tuple[int, int], list[str]] = {}
     for r in sorted(cand.collect(), key=lambda r: r["rank"]):

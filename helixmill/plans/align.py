@@ -13,6 +13,7 @@ from helixmill.operators import summaries as S
 from helixmill.operators.audit import label_observations
 from helixmill.plans import sql
 from helixmill.plans.packed import protein_ids
+from helixmill.session import materialize
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -168,7 +169,7 @@ def build_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    return S.reconcile(_t(spark, d, "sample_assignments"), mapping(spark, d))
+    return S.reconcile(_t(spark, d, "sample_assignments"), materialize(mapping(spark, d), "mapping"))  # read by each check
 
 
 def stratum_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -159,9 +159,17 @@ def matched_negatives(spark: SparkSession, d: str) -> DataFrame:
     return P.matched_negatives(window_text(_records(spark, d)), o)
 
 
-def kmer_baseline(spark: SparkSession, d: str) -> DataFrame:
-    o = label_observations(_records(spark, d), protein_ids(_t(spark, d, "proteins")))
-    return P.kmer_baseline(_windows(spark, d), o, P.assign(_members(spark, d)), 31)
+def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of the protein with the most known records each baseline's area by split, over all its records."""
+    from functools import reduce
+
+    from helixmill.operators.evaluation import auroc
+
+    o = materialize(label_observations(_records(spark, d), protein_ids(_t(spark, d, "proteins"))), "observations")
+    w, a = _windows(spark, d), materialize(P.assign(_members(spark, d)), "assigned")
+    protein = o.groupBy("protein_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "protein_id").first().protein_id
+    parts = [P.baseline(w, o, a, protein, kind).withColumn("kind", F.lit(kind)) for kind in P.BASELINES]
+    return auroc(reduce(DataFrame.unionByName, parts), ["kind", "split_name"]).withColumn("protein_id", F.lit(protein))
 
 
 def listing_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +213,7 @@ def sample_tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [contig_policy, contig_exclusions, policy_counts, largest_contig, contig_summaries, contig_length_problems, junction_motifs, clean_runs, probe_windows, indexed_access, exact_search, bed_problems, duplicate_groups, group_components]
-    own += [component_ids, component_gate, partition_assignment, fold_sizes, total_bases, partition_balance, cross_partition_audit, matched_negatives, kmer_baseline, listing_paths, sam_round_trip, bed_round_trip, fasta_round_trip, sample_tsv_round_trip]
+    own += [component_ids, component_gate, partition_assignment, fold_sizes, total_bases, partition_balance, cross_partition_audit, matched_negatives, baseline_scores, listing_paths, sam_round_trip, bed_round_trip, fasta_round_trip, sample_tsv_round_trip]
     return {f.__name__: f for f in own}
 
 

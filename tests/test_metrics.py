@@ -12,7 +12,6 @@ from helixmill.operators import codependence as D
 from helixmill.operators import evaluation as E
 from helixmill.operators.audit import rank_auc
 from helixmill.operators.components import components
-from helixmill.operators.controls import shuffle_pairs
 from helixmill.operators.sampling import QuotaError, build_sample
 
 
@@ -50,15 +49,6 @@ def test_bits(spark):
     assert df.sparkSession.createDataFrame([("ACN",), ("AC",)], "s string").select(encode_bases("s")).collect()[1][0] == "10000100"
 
 
-def test_shuffle_keeps_pairs():
-    rng = random.Random(1)
-    for n in (3, 10, 200):
-        s = "".join(rng.choice("ACGT") for _ in range(n))
-        t = shuffle_pairs(s, random.Random(n))
-        assert sorted(zip(s, s[1:])) == sorted(zip(t, t[1:])) and (s[0], s[-1]) == (t[0], t[-1])
-    assert shuffle_pairs("AC", rng) == "AC"
-
-
 def test_sample(spark):
     ids = spark.createDataFrame([(i, f"row_{i}") for i in range(60)], "row_index long, sample_id string")
     obs = spark.createDataFrame([(i, i % 3 + 1, i % 2) for i in range(60)], "row_index long, protein_id int, y int")
@@ -103,3 +93,18 @@ def test_component_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(10_000, 10_050)] + [(2999, 10_050)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(got) == 3051 and set(got.values()) == {0}
+
+
+def test_baselines(spark):
+    from helixmill.operators import partitions as P
+
+    w = spark.createDataFrame([(i, ("ACGTT" * 20 if i % 2 else "GGCCA" * 20) + "N" * (i % 3)) for i in range(60)] + [(60, ""), (61, None)], "row_index long, seq string")
+    f = {r.row_index: r.features for r in P.baseline_features(w, "3-mer").collect()}
+    assert abs(sum(f[1]) - 1) < 1e-9 and len(f[1]) == 64 and sum(f[60]) == sum(f[61]) == 0 and abs(f[1][0b000110] - 20 / 98) < 1e-9  # ACG
+    assert len(P.baseline_features(w.limit(1), "6-mer").first().features) == 4096
+    o = spark.createDataFrame([(i, 7, i % 2) for i in range(60)], "row_index long, protein_id int, y int")
+    a = spark.createDataFrame([(i, "train" if i < 40 else "test") for i in range(60)], "row_index long, split_name string")
+    for kind in ("gc", "3-mer"):
+        s = P.baseline(w, o, a, 7, kind).where("split_name = 'test'").collect()
+        assert min(r.score for r in s if r.y) > max(r.score for r in s if not r.y)
+    assert P.baseline(w, o, a, 7, "random").count() == 60
