@@ -95,12 +95,11 @@ def pack_cells(cells: pa.Array) -> pa.Array:
     data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
     usual = size[(size % 4 == 0) & (size < 1 << 16)]
     common = int(np.bincount(usual).argmax()) if len(usual) else 0
-    if common:
-        every = np.flatnonzero(size == common)
-        step = max(1, (1 << 24) // common)  # 16 MB of bits at a time
-    for lo in range(0, len(every) if common else 0, step if common else 1):
-        rows = every[lo : lo + step]
-        m = data[off[rows][:, None] + np.arange(common)] - 48
+    step = max(1, (1 << 24) // max(1, common))  # some 16 MB of bits at a time
+    for lo in range(0, n if common else 0, step):
+        own = size[lo : lo + step] == common
+        rows = lo + np.flatnonzero(own)
+        m = data[off[lo] : off[min(lo + step, n)]][np.repeat(own, np.diff(off[lo : min(lo + step, n) + 1]))].reshape(-1, common) - 48
         plain = (m <= 1).all(1)
         rows, m = rows[plain], m[plain]
         if len(rows):

@@ -145,20 +145,27 @@ def _places(contigs: DataFrame, wanted, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = wanted.value
         for b in batches if len(w) else ():
-            text = b.column("s")
-            for name, s in zip(b.column("chrom").to_pylist(), text):
-                if not s.is_valid:
-                    continue
-                raw = np.frombuffer(s.as_buffer(), np.uint8)
-                if (raw > 127).any():  # places are letters, not bytes
-                    raw = np.frombuffer(s.as_py().encode("ascii", "replace"), np.uint8)
-                for lo in range(0, len(raw), PIECE):
-                    h = _seed_hashes(raw[lo : lo + PIECE + SEED_LENGTH - 1])
-                    at = np.flatnonzero(w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h)
-                    for k in range(0, len(at), 2048):
-                        some = at[k : k + 2048]
-                        tails = [raw[lo + i : lo + i + longest].tobytes().decode("utf-8", "replace") for i in some.tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some + lo), pa.array(h[some]), pa.array(tails, pa.string())], names=["chrom", "start", "h", "tail"])
+            names, text = b.column("chrom"), b.column("s").drop_null().cast(pa.large_string()) if b.column("s").null_count else b.column("s").cast(pa.large_string())
+            if b.column("s").null_count:
+                names = names.filter(b.column("s").is_valid())
+            if not len(text):
+                continue
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            if (raw > 127).any():  # places are letters, not bytes
+                parts = [t.encode("ascii", "replace") for t in text.to_pylist()]
+                ends, raw = np.concatenate([[0], np.cumsum([len(t) for t in parts])]), np.frombuffer(b"".join(parts), np.uint8)
+            ends = ends - ends[0]
+            for lo in range(0, len(raw), PIECE):
+                h = _seed_hashes(raw[lo : lo + PIECE + SEED_LENGTH - 1])
+                at = np.flatnonzero(w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h)
+                own = np.searchsorted(ends, at + lo, "right") - 1
+                inside = at + lo + SEED_LENGTH <= ends[own + 1]
+                at, own = at[inside], own[inside]
+                for k in range(0, len(at), 2048):
+                    some, of = at[k : k + 2048] + lo, own[k : k + 2048]
+                    tails = [raw[i : min(i + longest, e)].tobytes().decode("ascii") for i, e in zip(some.tolist(), ends[of + 1].tolist())]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(some - ends[of]), pa.array(h[at[k : k + 2048]]), pa.array(tails, pa.string())], names=["chrom", "start", "h", "tail"])
 
     return contigs.mapInArrow(run, "chrom string, start long, h long, tail string")
 
