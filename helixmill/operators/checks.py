@@ -77,6 +77,42 @@ def log_facts(lines: DataFrame) -> DataFrame:
     return lines.select(cells).select("x.fact", F.explode("x.v").alias("value")).groupBy("fact", "value").agg(F.count("*").alias("n"))
 
 
+def index_log_problems(lines: DataFrame, k: int = 15, w: int = 5, hpc: bool = False, building: bool = True) -> DataFrame:
+    """(problem, value) in the lines (line) of a spliced aligner's log: `overridden` settings, `no_index_line`, several `parts`, parts
+    that `disagree`, a `kmer`, `skip` or `hpc` other than expected. With building false (a mapping against an index that is there) only the
+    first and the third are looked for. One pass; an empty log has no index line."""
+    stat = r"kmer size: (\d+); skip: (\d+); is_hpc: (\d+)"
+    at = lambda i: F.regexp_extract("line", stat, i).cast("int")
+    hit = F.col("line").rlike(stat)
+    low = F.lower("line")
+    x = lines.agg(
+        F.count(F.when(low.contains("overridden by parameters used in the prebuilt index"), 1)).alias("o"), F.count(F.when(low.contains("multi-part index"), 1)).alias("m"), F.count(F.when(hit, 1)).alias("n"),
+        *[f(F.when(hit, at(i))).alias(f"{c}{s}") for i, c in ((1, "k"), (2, "w"), (3, "h")) for f, s in ((F.min, "0"), (F.max, "1"))],
+    )
+    same = (F.col("k0") == F.col("k1")) & (F.col("w0") == F.col("w1")) & (F.col("h0") == F.col("h1"))
+    rule = lambda c, name, v: F.when(c, F.struct(F.lit(name).alias("problem"), v.cast("string").alias("value")))
+    rules = [rule(F.col("o") > 0, "overridden", F.col("o")), rule((F.col("n") > 1) | (F.col("m") > 0), "parts", F.greatest("n", "m"))]
+    if building:
+        rules += [rule(F.col("n") == 0, "no_index_line", F.lit(None)), rule(~same, "disagree", F.col("n"))]
+        rules += [rule(same & (F.col(c) != v), name, F.col(c)) for c, name, v in (("k0", "kmer", k), ("w0", "skip", w), ("h0", "hpc", int(hpc)))]
+    return x.select(F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("r")).select("r.problem", "r.value")
+
+
+def probe_problems(records: DataFrame, expected: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(query_name, problem, n) of probe queries (query_name): `primary_records` where other than one primary mapped record is there (n of
+    them; secondary ones don't matter), `foreign_contig` where the one lies on none of contigs (chrom). records are mapped_records()."""
+    p = records.where("is_primary").select("query_name", "chrom").join(contigs.select("chrom", F.lit(1).alias("known")).distinct(), "chrom", "left")
+    per = p.groupBy("query_name").agg(F.count("*").alias("k"), F.count("known").alias("own"))
+    x = expected.where("query_name is not null").select("query_name").distinct().join(per, "query_name", "left").fillna(0, ["k", "own"])
+    problem = F.when(F.col("k") != 1, "primary_records").when(F.col("own") == 0, "foreign_contig")
+    return x.select("query_name", problem.alias("problem"), F.col("k").alias("n")).where("problem is not null")
+
+
+def high_water(ledger: DataFrame, key: str = "stage", value: str = "bytes") -> DataFrame:
+    """(key, value): the most that each stage of a ledger used; entries are states, so they aren't added up."""
+    return ledger.groupBy(key).agg(F.max(value).alias(value))
+
+
 def preflight_problems(ram_gib: float | None, free_disk_gib: float | None, threads: int, least_ram: float, least_disk: float, most_threads: int) -> list[str]:
     """Why a host may not run a stage; unknown resources are a reason."""
     out = []

@@ -55,7 +55,8 @@ def auroc(s: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_precision(s: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, ap): the sum over distinct scores of recall gained times precision; null without positives. Without keys it is micro."""
+    """(*keys, ap): the sum over distinct scores of recall gained times precision; null without positives. Without keys it is micro: then
+    one task orders all distinct scores, of which latest_predictions() leaves at most a million, as it rounds to six places."""
     c = counts_by_score(s, keys)
     gained = F.col("p") / F.col("all_p") * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return c.groupBy(*keys).agg(F.sum(F.when(F.col("all_p") > 0, gained)).alias("ap"))
@@ -209,6 +210,12 @@ def paired_differences(s: DataFrame, by: str, cluster: str, replicates: int = 20
     return x.groupBy("one", "other").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lower"), F.percentile("d", F.lit(0.975)).alias("upper"))
 
 
+def epoch_loss(batches: DataFrame, keys: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """(*keys, loss, n): the mean of batch losses (loss, n) weighted by their numbers of samples; batches without a loss or samples say nothing."""
+    ok = batches.where("loss is not null and n > 0")
+    return ok.groupBy(*keys).agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
 def find_positive(known: DataFrame, protein_id: int, n: int = 20) -> DataFrame:
     """The first n samples, by sample id, in which the label is known positive."""
     return known.where((F.col("protein_id") == protein_id) & (F.col("y") == 1)).select("sample_id").orderBy("sample_id").limit(n)

@@ -30,6 +30,11 @@ def representatives(ids: DataFrame, n: int, seed: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w)).select("row_index", "sample_id", "rank")
 
 
+def first_sources(ids: DataFrame, n: int) -> DataFrame:
+    """(sample_id): the first n ids in the order of their text, in which row_10 comes before row_2; the sources of controls."""
+    return ids.where("sample_id is not null").select("sample_id").distinct().orderBy("sample_id").limit(n)
+
+
 def quota_candidates(observations: DataFrame, chosen: DataFrame, seed: int, n: int) -> DataFrame:
     """(protein_id, y, rank, sample_id): of each protein and class the n records of the lowest quota rank that aren't chosen."""
     o = observations.join(chosen.select("row_index"), "row_index", "left_anti").withColumn("sample_id", F.concat(F.lit("row_"), F.col("row_index").cast("string")))

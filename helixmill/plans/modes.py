@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.operators import alignment as A
+from helixmill.operators import checks as C
 from helixmill.operators import modes as M
+from helixmill.operators.sampling import first_sources
 from helixmill.plans import align, sql
 from helixmill.session import materialize
 
@@ -49,8 +51,19 @@ def expected_counts(spark: SparkSession, d: str) -> DataFrame:
     return M.reconcile(align._t(spark, d, "sample_assignments"), rows(spark, d), 300, 150, 40, ("one",), ("primary", "splice", "other"))
 
 
+def probe_problems(spark: SparkSession, d: str) -> DataFrame:
+    """All sample ids as probes, chromosomes as the reference's contigs."""
+    ids = align._t(spark, d, "sample_assignments").select(F.col("sample_id").alias("query_name"))
+    r = align.records(spark, d)
+    return C.probe_problems(r, ids, r.where(F.col("chrom").rlike("^chr")).select("chrom"))
+
+
+def control_sources(spark: SparkSession, d: str) -> DataFrame:
+    return first_sources(align._t(spark, d, "sample_assignments"), 100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (mode_rows, build_summary, expected_counts)}
+    return {f.__name__: f for f in (mode_rows, build_summary, expected_counts, probe_problems, control_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -99,6 +112,8 @@ sc as (select *, unnest(['combined', 'primary', 'splice']) scope from w where no
     ob = f"with {sql.OBS} select 'row_' || row_index query_name, protein_id, y from obs"
     n = "count(*) filter (u) successes, count(*) total"
     return {
+        "probe_problems": f"with {sql.ALN}, p as (select query_name, count(*) k, count(*) filter (regexp_matches(chrom, '^chr')) own from ar where is_primary group by 1), i as (select distinct sample_id query_name from sample_assignments where sample_id is not null), x as (select query_name, coalesce(k, 0) n, coalesce(own, 0) own from i left join p using (query_name)) select query_name, case when n <> 1 then 'primary_records' else 'foreign_contig' end problem, n from x where n <> 1 or own = 0",
+        "control_sources": "select distinct sample_id from sample_assignments where sample_id is not null order by sample_id limit 100",
         "mode_rows": f"with {body} select * from mr",
         "build_summary": f"""with {body}, {wide}, dd as (with {dec} select * from dec), ob as ({ob}), oc as (select scope, protein_id, y, u from sk join ob using (query_name)), c as (
 select 'categories' part, "mode" || '|' || is_control || '|' || category cell, count(*) successes, count(*) total from mr group by "mode", is_control, category

@@ -78,7 +78,7 @@ def release() -> None:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else for a shuffled join. It is written first unless it is a
     table of materialize(), so that it isn't worked out twice; the count then reads the files' footers."""
-    t = df if hasattr(df, "written_") else materialize(df, "side")
+    t = df if "written_" in vars(df) else materialize(df, "side")
     return F.broadcast(t) if t.count() <= rows else t
 
 
